@@ -88,3 +88,175 @@ full_s AS (SELECT q.query_id, d.doc_id, coalesce(c.score, 0.0) AS tfidf, coalesc
            FROM queries q CROSS JOIN docs d
            LEFT JOIN cos c ON c.query_id = q.query_id AND c.doc_id = d.doc_id
            LEFT JOIN dense e ON e.query_id = q.query_id AND e.doc_id = d.doc_id)"""
+
+
+def ranked_rrf(k: int) -> str:
+    return f"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tfidf DESC, doc_id) AS rank_tfidf,
+                     row_number() OVER (PARTITION BY query_id ORDER BY emb DESC, doc_id) AS rank_emb FROM full_s),
+fused AS (SELECT *, round(1.0 / (60 + rank_tfidf) + 1.0 / (60 + rank_emb), 6) AS score FROM ranked),
+rrf_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused
+            QUALIFY rank <= {k})"""
+
+
+def q_tfidf_topk() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()},
+full_t AS (SELECT q.query_id, d.doc_id, coalesce(c.score, 0.0) AS score FROM queries q CROSS JOIN docs d
+           LEFT JOIN cos c ON c.query_id = q.query_id AND c.doc_id = d.doc_id)
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM full_t)
+WHERE rank <= 3"""
+
+
+def q_rrf_fusion() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {ranked_rrf(10)}
+SELECT query_id, doc_id, score, rank_tfidf, rank_emb, rank FROM rrf_top"""
+
+
+def q_hybrid_rrf() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {ranked_rrf(3)}
+SELECT r.query_id, r.doc_id, r.score, r.tfidf, r.emb, r.rank, d.label
+FROM rrf_top r JOIN docs d USING (doc_id)"""
+
+
+def q_clean_text() -> str:
+    return f"SELECT doc_id, array_to_string({toks('text')}, ' ') AS clean_text FROM documents"
+
+
+DICT = str_list([w.lower() for w in config.custom_words()])
+
+
+def q_segment_dictionary() -> str:
+    return f"""SELECT doc_id, len(t)::BIGINT AS n_tokens,
+  len(list_filter(t, lambda x: list_contains({DICT}, x)))::BIGINT AS n_dict,
+  len(list_filter(t, lambda x: length(x) = 1))::BIGINT AS n_single
+FROM (SELECT doc_id, {toks('text', False)} AS t FROM documents)"""
+
+
+def q_stopword_filter() -> str:
+    return f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, len(k)::BIGINT AS n_kept, (len(t) - len(k))::BIGINT AS n_removed
+FROM (SELECT doc_id, {toks('text', False)} AS t, {toks('text', True)} AS k FROM documents)"""
+
+
+def q_vocab_df() -> str:
+    return f"WITH {DOCS}, {QUERIES}, {tfidf_ctes()} SELECT term, df, round(idf, 6) AS idf FROM vocab"
+
+
+def q_tfidf_weights() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}
+SELECT doc_id, term, tf::BIGINT AS tf, round(weight, 6) AS weight FROM d_post"""
+
+
+def q_doc_top_terms() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}
+SELECT doc_id, term, weight, rank FROM (
+  SELECT doc_id, term, round(weight, 6) AS weight,
+         row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS rank FROM d_post)
+WHERE rank <= 5"""
+
+
+def q_corpus_stats() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}
+SELECT (SELECT count(*) FROM docs)::BIGINT AS n_docs,
+       (SELECT count(*) FROM vocab)::BIGINT AS n_features,
+       (SELECT sum(len({toks('text', False)})) FROM docs)::BIGINT AS n_tokens,
+       {len(STOP)}::BIGINT AS n_stopwords,
+       {len(config.custom_words())}::BIGINT AS n_dictionary,
+       ((SELECT count(*) FROM docs) - (SELECT count(DISTINCT doc_id) FROM d_post))::BIGINT AS n_docs_without_features"""
+
+
+def q_feature_sample() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}
+SELECT term, rank FROM (SELECT term, row_number() OVER (ORDER BY md5(term), term) AS rank FROM vocab) WHERE rank <= 20"""
+
+
+def q_snippet() -> str:
+    return """SELECT doc_id, source,
+  CASE WHEN length(coalesce(text, '')) > 80 THEN substr(coalesce(text, ''), 1, 80) || '...' ELSE coalesce(text, '') END AS snippet
+FROM documents"""
+
+
+def q_column_order() -> str:
+    return f"""SELECT (dense_rank() OVER (ORDER BY lang) - 1)::BIGINT AS cluster, text,
+  array_to_string({toks('text')}, ' ') AS clean_text, source, doc_id, lang, n_chars FROM documents"""
+
+
+def q_tfidf_threshold() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()},
+full_t AS (SELECT q.query_id, d.doc_id, coalesce(c.score, 0.0) AS score FROM queries q CROSS JOIN docs d
+           LEFT JOIN cos c ON c.query_id = q.query_id AND c.doc_id = d.doc_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM full_t)
+        WHERE rank <= 3 AND score > 0.05)
+SELECT q.query_id, t.doc_id, t.score, t.rank, t.doc_id IS NULL AS no_result FROM queries q LEFT JOIN top t USING (query_id)"""
+
+
+def q_duplicate_report() -> str:
+    return """SELECT doc_id, first_doc_id, group_size FROM (
+  SELECT doc_id, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS group_size
+  FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))) WHERE group_size > 1"""
+
+
+def q_dedup_exact() -> str:
+    return """SELECT doc_id, lang, source, n_chars FROM documents
+QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1"""
+
+
+def q_dedup_stats() -> str:
+    return """WITH g AS (SELECT doc_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS n,
+                       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS rn FROM documents)
+SELECT count(*)::BIGINT AS n_before, count(*) FILTER (WHERE n > 1)::BIGINT AS n_duplicate_rows,
+       count(*) FILTER (WHERE rn = 1)::BIGINT AS n_after FROM g"""
+
+
+def _rstrip(col: str) -> str:
+    return f"regexp_replace({col}, {lit(WS_CLASS + '+$')}, '')"
+
+
+def _patch_ctes() -> tuple[str, int]:
+    ctes = ["p0 AS (SELECT doc_id, text AS t0 FROM documents)"]
+    for i, (_, key, sent) in enumerate(sorted(config.PATCH_EDITS), start=1):
+        prev = f"t{i - 1}"
+        m = f"coalesce(contains({prev}, {lit(key)}), false)"
+        done = f"coalesce(contains({prev}, {lit(sent)}), false)"
+        ctes.append(
+            f"p{i} AS (SELECT *, {m} AS m{i}, ({m} AND NOT {done}) AS f{i}, "
+            f"CASE WHEN {m} AND NOT {done} THEN {_rstrip(prev)} || {lit(sent)} ELSE {prev} END AS t{i} FROM p{i - 1})"
+        )
+    return ", ".join(ctes), len(config.PATCH_EDITS)
+
+
+def q_patch_rows() -> str:
+    ctes, n = _patch_ctes()
+    applied = " + ".join(f"f{i}::INT" for i in range(1, n + 1))
+    return f"""WITH {ctes}
+SELECT doc_id, t{n} AS text, ({applied})::BIGINT AS n_edits FROM p{n} WHERE ({applied}) > 0"""
+
+
+def q_patch_report() -> str:
+    ctes, n = _patch_ctes()
+    parts = []
+    for i, (seq, key, _) in enumerate(sorted(config.PATCH_EDITS), start=1):
+        parts.append(f"SELECT {seq}::BIGINT AS seq, {lit(key)} AS key, count(*) FILTER (WHERE m{i})::BIGINT AS matched, "
+                     f"count(*) FILTER (WHERE f{i})::BIGINT AS patched FROM p{n}")
+    body = " UNION ALL ".join(parts)
+    return f"""WITH {ctes}, c AS ({body})
+SELECT seq, key, matched, patched,
+  CASE WHEN matched = 0 THEN 'missing' WHEN matched > 1 THEN 'multi' ELSE 'ok' END AS status FROM c"""
+
+
+def q_append_if_absent() -> str:
+    vals = ", ".join(f"({i}, {lit(m)}, {lit(src)}, {lit(lab)})" for i, (m, _t, src, lab) in enumerate(config.APPEND_ROWS))
+    return f"""WITH new_rows(pos, marker, source, label) AS (VALUES {vals}),
+absent AS (SELECT * FROM new_rows n WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, n.marker))),
+mx AS (SELECT coalesce(max(doc_id), -1) AS m FROM documents)
+SELECT doc_id, source, lang AS label FROM documents
+UNION ALL
+SELECT (mx.m + row_number() OVER (ORDER BY pos))::BIGINT AS doc_id, source, label FROM absent, mx"""
+
+
+def all_sql() -> dict[str, str]:
+    out = {}
+    for name, fn in globals().items():
+        if name.startswith("q_") and callable(fn):
+            out[name[2:]] = fn()
+    return out

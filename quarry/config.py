@@ -83,3 +83,25 @@ class SearchConfig:
     score_digits: int = 6     # scores are rounded before ranking (float sums differ in the last bits)
     # Broadcast only sides whose row count was checked below this bound.
     broadcast_max_rows: int = 2_000_000
+
+
+# ---------------------------------------------------------------------------
+# Curation inputs (data, not reference values). Edits are applied in seq
+# order; the keys are strings that occur in the driver's documents, and edit 4
+# only matches text produced by edit 1 (sequential semantics).
+# ---------------------------------------------------------------------------
+PATCH_EDITS = [
+    (1, "Released under the MIT License.", " See the LICENSE file for the full text."),
+    (2, "Licensed under CC BY-NC 4.0.", " Attribution is required for any reuse."),
+    (3, "no passage contains this key", " This sentence is never appended."),
+    (4, "See the LICENSE file", " Contact the maintainers for other terms."),
+    (5, "worthless", " (sic)"),
+]
+
+# Rows appended unless some document already contains the marker.
+APPEND_ROWS = [
+    ("Contributor covenant overview",
+     "Contributor covenant overview: be respectful, assume good faith, credit the work of others, "
+     "and report problems to the maintainers in private.", "curated", "en"),
+    ("Apache License", "Apache License overview: permissive, with a patent grant.", "curated", "en"),
+]

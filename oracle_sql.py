@@ -254,6 +254,69 @@ UNION ALL
 SELECT (mx.m + row_number() OVER (ORDER BY pos))::BIGINT AS doc_id, source, label FROM absent, mx"""
 
 
+EV = """ev AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cm AS (SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT label AS cluster, i, avg(x) AS m FROM ev GROUP BY ALL) GROUP BY cluster),
+cn AS (SELECT cluster, list_transform(c, lambda v: v / nrm) AS c FROM (
+       SELECT cluster, c, sqrt(list_sum(list_transform(c, lambda w: w * w))) AS nrm FROM cm))"""
+
+NEAR2 = """near AS (SELECT * FROM (SELECT e.vec_id, c.cluster, round(list_distance(e.embedding::DOUBLE[], c.c), 6) AS dist,
+             row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], c.c), 6), c.cluster) AS rank
+           FROM embeddings e CROSS JOIN cm c) WHERE rank <= 2)"""
+
+
+def q_dense_topk() -> str:
+    return f"""WITH {EV},
+sc AS (SELECT c.cluster::BIGINT AS query_id, e.vec_id AS doc_id, round(list_dot_product(c.c, e.embedding::DOUBLE[]), 6) AS score
+       FROM cn c CROSS JOIN embeddings e)
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5"""
+
+
+def q_embed_hash() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {hash_ctes()}
+SELECT doc_id, b::BIGINT AS dim, round(v, 6) AS value FROM d_vec"""
+
+
+def q_nearest_clusters() -> str:
+    return f"WITH {EV}, {NEAR2} SELECT vec_id, cluster, dist, rank FROM near"
+
+
+def q_cluster_pruned_search() -> str:
+    return f"""WITH {EV}, {NEAR2},
+searched AS (SELECT vec_id AS query_id, string_agg(cluster::VARCHAR, ',' ORDER BY rank) AS clusters_searched FROM near GROUP BY 1),
+sc AS (SELECT n.vec_id AS query_id, d.vec_id AS doc_id, d.label AS article_cluster,
+              round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+       FROM near n JOIN embeddings q ON q.vec_id = n.vec_id JOIN embeddings d ON d.label = n.cluster),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+        WHERE rank <= 3 AND score > 0.05)
+SELECT t.query_id, s.clusters_searched, t.doc_id, t.article_cluster, t.score, t.rank FROM top t JOIN searched s USING (query_id)"""
+
+
+def q_cluster_sizes() -> str:
+    return """SELECT g.c::INTEGER AS cluster, count(e.vec_id)::BIGINT AS size
+FROM (SELECT unnest(generate_series(0, (SELECT max(label) FROM embeddings))) AS c) g
+LEFT JOIN embeddings e ON e.label = g.c GROUP BY g.c"""
+
+
+def _cent_terms() -> str:
+    return f"""{DOCS}, {QUERIES}, {tfidf_ctes()},
+g AS (SELECT doc_id, label AS cluster FROM docs), sz AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1),
+cent AS (SELECT cluster, term, round(sum(weight) / n, 6) AS weight FROM d_post JOIN g USING (doc_id) JOIN sz USING (cluster)
+         GROUP BY cluster, term, n),
+ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM cent)
+         WHERE rank <= 5)"""
+
+
+def q_cluster_top_terms() -> str:
+    return f"WITH {_cent_terms()} SELECT cluster, term, weight, rank FROM ctop"
+
+
+def q_cluster_report() -> str:
+    return f"""WITH {_cent_terms()}
+SELECT s.cluster, s.n::BIGINT AS size, coalesce(t.top_terms, '') AS top_terms FROM sz s
+LEFT JOIN (SELECT cluster, string_agg(term, ',' ORDER BY rank) AS top_terms FROM ctop GROUP BY 1) t USING (cluster)"""
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, fn in globals().items():

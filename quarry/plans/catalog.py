@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.config import SearchConfig
 from quarry.functions import text as T
+from quarry.functions import vector as V
+from quarry.operators import clusters as CL
 from quarry.operators import curate as CU
+from quarry.operators import dense as D
 from quarry.operators.topk import top_k
 from quarry.plans import hybrid as H
 from quarry.plans import reports as R
@@ -163,6 +166,83 @@ def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "label")
 
 
+# ---------------------------------------------------------------------------
+# dense vectors and clusters
+# ---------------------------------------------------------------------------
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.read_vectors(spark, sf_dir)
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit label-centroid queries against all vectors, top-5 by inner product."""
+    vecs = _vectors(spark, sf_dir)
+    cents = CL.label_centroids(vecs)
+    queries = cents.select(F.col("cluster").cast("long").alias("query_id"), V.normalize("embedding").alias("embedding"))
+    docs = vecs.select(F.col("vec_id").alias("doc_id"), "embedding")
+    scores = D.dense_scores(queries, docs, max_broadcast_rows=CFG.broadcast_max_rows)
+    scores = scores.withColumn("score", F.round("score", 6))
+    return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], 5)
+
+
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6(b), T7: signed md5 feature hashing of document tokens, unit norm (non-zero dims)."""
+    enc = D.hash_encoder(C.read_corpus(spark, sf_dir), "doc_id", dims=64)
+    return enc.select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter(F.col("value") != 0).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def embed_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6(c): MLlib Word2Vec trained on the corpus, unit mean vector per document (rows-only check)."""
+    docs = C.read_corpus(spark, sf_dir)
+    enc = D.word2vec_encoder(docs, docs, "doc_id", dims=16)
+    return enc.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+def nearest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two closest label centroids of every vector."""
+    vecs = _vectors(spark, sf_dir)
+    return CL.nearest_clusters(vecs, CL.label_centroids(vecs), 2)
+
+
+def cluster_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector searches only its 2 nearest clusters; top-3, score > 0.05."""
+    vecs = _vectors(spark, sf_dir)
+    queries = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    docs = vecs.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"), "embedding")
+    return CL.cluster_pruned_search(queries, docs, CL.label_centroids(vecs), 2, 3, 0.05,
+                                    max_broadcast_rows=CFG.broadcast_max_rows)
+
+
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors per cluster, clusters 0..max kept even when empty."""
+    return CL.cluster_sizes(_vectors(spark, sf_dir).select(F.col("label").alias("cluster")))
+
+
+def _groups(idx) -> DataFrame:
+    return idx.docs.select("doc_id", F.col("label").alias("cluster"))
+
+
+def cluster_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-5 terms of each group's mean tf-idf vector (group = document language)."""
+    idx = _index(spark, sf_dir)
+    return CL.group_top_terms(idx.postings, _groups(idx), 5)
+
+
+def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group size and top-5 centroid terms."""
+    idx = _index(spark, sf_dir)
+    return CL.cluster_report(idx.postings, _groups(idx), 5)
+
+
+def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means (K=5, best of 10 seeds) on tf-idf rows (rows-only check)."""
+    idx = _index(spark, sf_dir)
+    feats = CL.tfidf_features(idx, H.materialize)
+    model, _cost = CL.kmeans_fit(feats, k=5, n_init=10, seed=42)
+    return CL.kmeans_assign(model, feats)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_topk(spark, sf_dir)
 
@@ -188,4 +268,13 @@ REGISTRY = {
     "patch_rows": patch_rows,
     "patch_report": patch_report,
     "append_if_absent": append_if_absent,
+    "dense_topk": dense_topk,
+    "embed_hash": embed_hash,
+    "embed_word2vec": embed_word2vec,
+    "nearest_clusters": nearest_clusters,
+    "cluster_pruned_search": cluster_pruned_search,
+    "cluster_sizes": cluster_sizes,
+    "cluster_top_terms": cluster_top_terms,
+    "cluster_report": cluster_report,
+    "cluster_fit": cluster_fit,
 }

@@ -317,6 +317,66 @@ SELECT s.cluster, s.n::BIGINT AS size, coalesce(t.top_terms, '') AS top_terms FR
 LEFT JOIN (SELECT cluster, string_agg(term, ',' ORDER BY rank) AS top_terms FROM ctop GROUP BY 1) t USING (cluster)"""
 
 
+def weighted_top(k: int, alpha: float = 0.5) -> str:
+    return f"""
+st AS (SELECT query_id, min(tfidf) AS lo_t, max(tfidf) AS hi_t, min(emb) AS lo_e, max(emb) AS hi_e FROM full_s GROUP BY 1),
+fw AS (SELECT f.*, round({alpha} * ((tfidf - lo_t) / (hi_t - lo_t + 1e-9)) + {1 - alpha} * ((emb - lo_e) / (hi_e - lo_e + 1e-9)), 6) AS score
+       FROM full_s f JOIN st USING (query_id)),
+w_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fw)
+          WHERE rank <= {k})"""
+
+
+def q_minmax_fusion() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {weighted_top(10)}
+SELECT query_id, doc_id, score, tfidf, emb, rank FROM w_top"""
+
+
+def q_hybrid_weighted() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {weighted_top(3)}
+SELECT w.query_id, w.doc_id, w.score, w.tfidf, w.emb, w.rank, d.label FROM w_top w JOIN docs d USING (doc_id)"""
+
+
+def ws_set(col: str) -> str:
+    return (f"list_sort(list_distinct(list_filter(string_split_regex(coalesce({col}, ''), {lit(WS_CLASS + '+')}), "
+            f"lambda x: length(x) > 0)))")
+
+
+def lcs_sql(x: str, y: str) -> str:
+    """LCS length by nested list_reduce (row-by-row dynamic programming)."""
+    return (f"(CASE WHEN length({y}) = 0 OR length({x}) = 0 THEN 0 ELSE list_reduce(string_split({x}, ''), "
+            f"lambda prev, ca: list_reduce(generate_series(1, length({y})), "
+            f"lambda cur, j: list_append(cur, CASE WHEN ca = {y}[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0]), "
+            f"list_transform(generate_series(0, length({y})), lambda z: 0))[length({y}) + 1] END)")
+
+
+def token_set_ratio_ctes(pairs: str) -> str:
+    """pairs CTE must expose (qt, dt); yields tsr(qt, dt, score)."""
+    return f"""
+ts_sets AS (SELECT qt, dt, {ws_set('lower(qt)')} AS sa, {ws_set('lower(dt)')} AS sb FROM {pairs}),
+ts_parts AS (SELECT *, list_intersect(sa, sb) AS I,
+                    list_sort(list_filter(sa, lambda x: NOT list_contains(sb, x))) AS D1,
+                    list_sort(list_filter(sb, lambda x: NOT list_contains(sa, x))) AS D2 FROM ts_sets),
+ts_len AS (SELECT *, array_to_string(D1, ' ') AS j1, array_to_string(D2, ' ') AS j2,
+                  (CASE WHEN len(I) = 0 THEN 0 ELSE length(array_to_string(I, ' ')) END)::DOUBLE AS s,
+                  (CASE WHEN len(D1) = 0 THEN 0 ELSE length(array_to_string(D1, ' ')) END)::DOUBLE AS la,
+                  (CASE WHEN len(D2) = 0 THEN 0 ELSE length(array_to_string(D2, ' ')) END)::DOUBLE AS lb FROM ts_parts),
+ts_l AS (SELECT *, {lcs_sql('j1', 'j2')}::DOUBLE AS lcs, (CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS h FROM ts_len),
+ts_r AS (SELECT *, CASE WHEN (s + h + la) + (s + h + lb) > 0 THEN 100.0 * (1.0 - (la + lb - 2.0 * lcs) / ((s + h + la) + (s + h + lb))) ELSE 100.0 END AS r0,
+                   100.0 * (1.0 - (1.0 + la) / (s + (s + h + la))) AS r1, 100.0 * (1.0 - (1.0 + lb) / (s + (s + h + lb))) AS r2 FROM ts_l),
+tsr AS (SELECT qt, dt, round(CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0
+                             WHEN len(I) > 0 AND (len(D1) = 0 OR len(D2) = 0) THEN 100.0
+                             WHEN s > 0 THEN greatest(r0, r1, r2) ELSE r0 END, 6) AS score FROM ts_r)"""
+
+
+def q_fuzzy_topk() -> str:
+    return f"""WITH q AS (SELECT min(p_partkey) AS query_id, p_name AS qt FROM part GROUP BY p_name),
+fz_pairs AS (SELECT qt, dt FROM (SELECT DISTINCT qt FROM q) CROSS JOIN (SELECT DISTINCT p_name AS dt FROM part)),
+{token_set_ratio_ctes('fz_pairs')},
+sc AS (SELECT q.query_id, p.p_partkey AS doc_id, t.score FROM q JOIN tsr t ON t.qt = q.qt JOIN part p ON p.p_name = t.dt)
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5"""
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, fn in globals().items():

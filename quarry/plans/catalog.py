@@ -17,6 +17,7 @@ from quarry.functions import vector as V
 from quarry.operators import clusters as CL
 from quarry.operators import curate as CU
 from quarry.operators import dense as D
+from quarry.operators import fuzzy_search as FS
 from quarry.operators.topk import top_k
 from quarry.plans import hybrid as H
 from quarry.plans import reports as R
@@ -243,6 +244,31 @@ def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.kmeans_assign(model, feats)
 
 
+# ---------------------------------------------------------------------------
+# weighted fusion and fuzzy matching
+# ---------------------------------------------------------------------------
+
+def minmax_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact whole-corpus min-max weighted fusion (alpha 0.5), top-10."""
+    res = H.weighted_search(_index(spark, sf_dir), C.read_benchmark_queries(spark, sf_dir), CFG, k=10, alpha=0.5)
+    return res.select("query_id", "doc_id", "score", "tfidf", "emb", "rank")
+
+
+def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T13 (weighted): served hybrid top-3 with components and label, alpha 0.5."""
+    idx = _index(spark, sf_dir)
+    res = H.weighted_search(idx, C.read_benchmark_queries(spark, sf_dir), CFG, k=3, alpha=0.5)
+    return H.attach(res.select("query_id", "doc_id", "score", "tfidf", "emb", "rank"), idx, ("label",))
+
+
+def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_set_ratio of each distinct part name against every part, top-5."""
+    part = C.read_table(spark, sf_dir, "part")
+    queries = part.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return FS.fuzzy_topk(queries, docs, 5, CFG.broadcast_max_rows)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_topk(spark, sf_dir)
 
@@ -277,4 +303,7 @@ REGISTRY = {
     "cluster_top_terms": cluster_top_terms,
     "cluster_report": cluster_report,
     "cluster_fit": cluster_fit,
+    "minmax_fusion": minmax_fusion,
+    "hybrid_weighted": hybrid_weighted,
+    "fuzzy_topk": fuzzy_topk,
 }

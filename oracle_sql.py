@@ -377,6 +377,79 @@ SELECT query_id, doc_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5"""
 
 
+REL = f"""rel AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)
+                WHERE {not_blank('b.text')})"""
+
+
+def q_relevance_pairs() -> str:
+    return f"WITH {REL} SELECT query_id AS item_id, doc_id FROM rel"
+
+
+def _stage_tops() -> str:
+    return f"""{DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {ranked_rrf(10)}, {REL},
+t_top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tfidf DESC, doc_id) AS rank FROM full_s
+          QUALIFY rank <= 10),
+e_top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY emb DESC, doc_id) AS rank FROM full_s
+          QUALIFY rank <= 10)"""
+
+
+def _judge(top: str, k: int) -> str:
+    return f"""SELECT q.query_id, CASE WHEN q.query_id NOT IN (SELECT query_id FROM rel) THEN NULL
+  WHEN EXISTS (SELECT 1 FROM {top} t JOIN rel r ON r.query_id = t.query_id AND r.doc_id = t.doc_id
+               WHERE t.query_id = q.query_id AND t.rank <= {k}) THEN 1 ELSE 0 END AS judge FROM queries q"""
+
+
+def q_recall_at_k() -> str:
+    parts = []
+    for stage, top in (("tfidf", "t_top"), ("dense", "e_top"), ("hybrid_rrf", "rrf_top")):
+        for k in (1, 3, 10):
+            parts.append(f"""SELECT '{stage}' AS stage, {k}::BIGINT AS k, count(judge)::BIGINT AS judged,
+  coalesce(sum(judge), 0)::BIGINT AS hits, count(*) FILTER (WHERE judge IS NULL)::BIGINT AS skipped,
+  CASE WHEN count(judge) > 0 THEN sum(judge)::DOUBLE / count(judge) END AS recall,
+  CASE WHEN count(judge) > 0 THEN printf('%.1f%%', sum(judge)::DOUBLE / count(judge) * 100.0) END AS recall_pct
+FROM ({_judge(top, k)})""")
+    return f"WITH {_stage_tops()} " + " UNION ALL ".join(parts)
+
+
+def _judged3() -> str:
+    return f"""{DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {ranked_rrf(3)}, {REL},
+jd AS ({_judge('rrf_top', 3)})"""
+
+
+def q_eval_misses() -> str:
+    return f"WITH {_judged3()} SELECT j.query_id, q.text FROM jd j JOIN queries q USING (query_id) WHERE judge = 0"
+
+
+def q_judged_export() -> str:
+    w = config.JUDGE_WORDS_FIXED
+    return f"""WITH {_judged3()}
+SELECT j.query_id, q.text, CASE WHEN judge = 1 THEN {lit(w[1])} WHEN judge = 0 THEN {lit(w[0])} ELSE {lit(w[None])} END AS judge
+FROM jd j JOIN queries q USING (query_id)"""
+
+
+def feat_toks(col: str) -> str:
+    return f"list_filter({toks(col)}, lambda x: length(x) >= 2)"
+
+
+def bigrams_sql(t: str) -> str:
+    return f"list_transform(generate_series(1, len({t}) - 1), lambda i: {t}[i] || ' ' || {t}[i + 1])"
+
+
+def q_rerank_search() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()}, {hash_ctes()}, {full_scores()}, {ranked_rrf(20)},
+cand AS (SELECT query_id, doc_id, tfidf, emb, rank AS rank1 FROM rrf_top),
+qf0 AS (SELECT query_id, {feat_toks('text')} AS t FROM queries),
+qf AS (SELECT query_id, list_distinct(t) AS qt, list_distinct({bigrams_sql('t')}) AS qb FROM qf0),
+df0 AS (SELECT doc_id, {feat_toks('text')} AS t FROM docs WHERE doc_id IN (SELECT doc_id FROM cand)),
+dfe AS (SELECT doc_id, list_distinct(t) AS dt, list_distinct({bigrams_sql('t')}) AS db FROM df0),
+feat AS (SELECT c.*, CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, dt))::DOUBLE / len(qt) END AS f_cov,
+                CASE WHEN len(qb) = 0 THEN 0.0 ELSE len(list_intersect(qb, db))::DOUBLE / len(qb) END AS f_bi
+         FROM cand c JOIN qf USING (query_id) JOIN dfe USING (doc_id)),
+sc AS (SELECT *, round(1.0 / (1.0 + exp(-(-4.0 + 3.0 * f_cov + 4.0 * f_bi + 2.0 * tfidf + 1.0 * emb))), 6) AS score FROM feat),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank1) AS rank FROM sc QUALIFY rank <= 3)
+SELECT r.query_id, r.doc_id, r.score, r.rank1, r.rank, d.label FROM rr r JOIN docs d USING (doc_id)"""
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, fn in globals().items():

@@ -17,6 +17,9 @@ from quarry.functions import vector as V
 from quarry.operators import clusters as CL
 from quarry.operators import curate as CU
 from quarry.operators import dense as D
+from quarry.operators import evaluate as EV
+from quarry.operators import relevance as RL
+from quarry.operators import rerank as RR
 from quarry.operators import fuzzy_search as FS
 from quarry.operators.topk import top_k
 from quarry.plans import hybrid as H
@@ -33,6 +36,21 @@ def _index(spark: SparkSession, sf_dir: str):
     return index_for(spark, sf_dir)
 
 
+_MEMO: dict = {}
+
+
+def _memo(key, build):
+    """Reuse a written stage result within the process (it is a table in the checkpoint folder)."""
+    if key not in _MEMO:
+        _MEMO[key] = H.materialize(build())
+    return _MEMO[key]
+
+
+def _rrf(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    idx = _index(spark, sf_dir)
+    return _memo(("rrf", idx.path, k), lambda: H.rrf_search(idx, C.read_benchmark_queries(spark, sf_dir), CFG, k=k))
+
+
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine top-3 of benchmark items against documents."""
     return tfidf_search(_index(spark, sf_dir), C.read_benchmark_queries(spark, sf_dir), CFG, k=3)
@@ -40,14 +58,13 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact whole-corpus RRF (k=60) of tf-idf and hash-dense, top-10 with engine ranks."""
-    res = H.rrf_search(_index(spark, sf_dir), C.read_benchmark_queries(spark, sf_dir), CFG, k=10)
-    return res.select("query_id", "doc_id", "score", "rank_tfidf", "rank_emb", "rank")
+    return _rrf(spark, sf_dir, 10).select("query_id", "doc_id", "score", "rank_tfidf", "rank_emb", "rank")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13 (rrf), J5, P12: served hybrid top-3 with component scores and label."""
     idx = _index(spark, sf_dir)
-    res = H.rrf_search(idx, C.read_benchmark_queries(spark, sf_dir), CFG, k=3)
+    res = _rrf(spark, sf_dir, 3)
     return H.attach(res.select("query_id", "doc_id", "score", "tfidf", "emb", "rank"), idx, ("label",))
 
 
@@ -269,6 +286,67 @@ def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FS.fuzzy_topk(queries, docs, 5, CFG.broadcast_max_rows)
 
 
+# ---------------------------------------------------------------------------
+# two-stage retrieval and evaluation
+# ---------------------------------------------------------------------------
+
+def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact RRF top-20 -> fixed-coefficient pair scorer -> top-3 with label."""
+    idx = _index(spark, sf_dir)
+    qs = C.read_benchmark_queries(spark, sf_dir)
+    res = H.two_stage_search(idx, qs, CFG, k=3, candidate_k=20, first_stage=_rrf(spark, sf_dir, 20))
+    return H.attach(res, idx, ("label",))
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = _index(spark, sf_dir)
+    return _memo(("rel", idx.path), lambda: RL.planted_relevance(
+        idx.docs.select("doc_id", "text"), C.read_table(spark, sf_dir, "benchmark").select("item_id", "text")).distinct())
+
+
+def rerank_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T14 (learned): pair scorer fitted by logistic regression on planted relevance (rows-only check)."""
+    idx = _index(spark, sf_dir)
+    qs = C.read_benchmark_queries(spark, sf_dir)
+    cands = _rrf(spark, sf_dir, 20).select("query_id", "doc_id", "tfidf", "emb", F.col("rank").alias("rank1"))
+    feats = H.materialize(RR.pair_features(cands, qs, idx.docs, idx.cfg, CFG.broadcast_max_rows))
+    labels = _relevance(spark, sf_dir).select(F.col("item_id").alias("query_id"), "doc_id", F.lit(1).alias("label"))
+    scorer = RR.fit_scorer(feats, labels)
+    return RR.rerank(feats, 3, scorer)
+
+
+def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth for evaluation: documents containing a benchmark passage verbatim."""
+    return _relevance(spark, sf_dir)
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recall@1/3/10 of the tf-idf, dense and hybrid stages against planted relevance."""
+    idx = _index(spark, sf_dir)
+    qs = C.read_benchmark_queries(spark, sf_dir)
+    stages = {
+        "tfidf": _memo(("tfidf", idx.path, 10), lambda: tfidf_search(idx, qs, CFG, k=10)),
+        "dense": _memo(("dense", idx.path, 10), lambda: H.dense_search(idx, qs, CFG, k=10)),
+        "hybrid_rrf": _rrf(spark, sf_dir, 10),
+    }
+    return EV.recall_table(stages, _relevance(spark, sf_dir), qs, (1, 3, 10))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs = C.read_benchmark_queries(spark, sf_dir)
+    return EV.judgements(_rrf(spark, sf_dir, 3), _relevance(spark, sf_dir), qs, 3).join(qs, "query_id")
+
+
+def eval_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions judged a miss by hybrid top-3."""
+    return _judged(spark, sf_dir).filter(F.col("judge") == 0).select("query_id", "text")
+
+
+def judged_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with its verdict word (hit / miss / skipped)."""
+    return _judged(spark, sf_dir).select("query_id", "text", EV.judge_word("judge").alias("judge"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_topk(spark, sf_dir)
 
@@ -306,4 +384,10 @@ REGISTRY = {
     "minmax_fusion": minmax_fusion,
     "hybrid_weighted": hybrid_weighted,
     "fuzzy_topk": fuzzy_topk,
+    "rerank_search": rerank_search,
+    "rerank_learned": rerank_learned,
+    "relevance_pairs": relevance_pairs,
+    "recall_at_k": recall_at_k,
+    "eval_misses": eval_misses,
+    "judged_export": judged_export,
 }

@@ -450,6 +450,22 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r
 SELECT r.query_id, r.doc_id, r.score, r.rank1, r.rank, d.label FROM rr r JOIN docs d USING (doc_id)"""
 
 
+def q_index_roundtrip() -> str:
+    return f"""WITH {DOCS}, {QUERIES}, {tfidf_ctes()},
+pd AS (SELECT doc_id, count(*)::BIGINT AS n_features, round(sum(weight * weight), 6) AS norm2, sum(tf)::BIGINT AS n_feature_tokens
+       FROM d_post GROUP BY doc_id)
+SELECT d.doc_id, d.source, d.label, coalesce(p.n_features, 0)::BIGINT AS n_features, coalesce(p.norm2, 0.0) AS norm2,
+       coalesce(p.n_feature_tokens, 0)::BIGINT AS n_feature_tokens FROM docs d LEFT JOIN pd p USING (doc_id)"""
+
+
+def q_stream_search() -> str:
+    """The stream's answer must equal the batch answer over the same user turns."""
+    body = q_rerank_search().replace(QUERIES, USER_TURNS)
+    body = body.replace("SELECT r.query_id, r.doc_id, r.score, r.rank1, r.rank, d.label FROM rr r JOIN docs d USING (doc_id)",
+                        "SELECT query_id, doc_id, score, rank1, rank FROM rr")
+    return body
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, fn in globals().items():

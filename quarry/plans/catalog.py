@@ -27,7 +27,11 @@ from quarry.plans import reports as R
 from quarry.plans.sizing import bounded_broadcast
 from quarry.plans.index_build import index_for
 from quarry.plans.search import tfidf_search
+from quarry.session import scratch_path
 from quarry.sources import corpus as C
+from quarry.sources import index_io
+from quarry.streaming import query_stream as QS
+from quarry.plans.index_build import build_index
 
 CFG = SearchConfig()
 
@@ -347,6 +351,42 @@ def judged_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("query_id", "text", EV.judge_word("judge").alias("judge"))
 
 
+# ---------------------------------------------------------------------------
+# persistence and streaming
+# ---------------------------------------------------------------------------
+
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build every index table into a new folder, load it back, per-document check."""
+    path = scratch_path(spark, "index-roundtrip")          # a new version; nothing is overwritten in place
+    build_index(C.read_corpus(spark, sf_dir), path)
+    idx = index_io.load_index(spark, path)
+    per_doc = idx.postings.groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_features"),
+        F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm2"),
+        F.sum("tf").cast("long").alias("n_feature_tokens"))
+    return idx.docs.select("doc_id", "source", "label").join(per_doc, "doc_id", "left").fillna(
+        0, subset=["n_features", "n_feature_tokens"]).fillna(0.0, subset=["norm2"])
+
+
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of the conversations as a query stream -> two-stage search per micro-batch."""
+    idx = _index(spark, sf_dir)
+    src = C.table_path(sf_dir, "conversations")
+    schema = spark.read.parquet(src).schema
+    base = scratch_path(spark, "stream")
+
+    def to_queries(conv: DataFrame) -> DataFrame:
+        return conv.filter(F.col("role") == "user").select(
+            (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), F.col("text").cast("string"))
+
+    def search(batch: DataFrame) -> DataFrame:
+        return H.two_stage_search(idx, batch, CFG, k=3, candidate_k=20)
+
+    q = QS.start_query_stream(spark, src, schema, to_queries, search, f"{base}/out", f"{base}/checkpoint")
+    QS.run_to_completion(q)
+    return QS.read_results(spark, f"{base}/out").select("query_id", "doc_id", "score", "rank1", "rank")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_topk(spark, sf_dir)
 
@@ -390,4 +430,6 @@ REGISTRY = {
     "recall_at_k": recall_at_k,
     "eval_misses": eval_misses,
     "judged_export": judged_export,
+    "index_roundtrip": index_roundtrip,
+    "stream_search": stream_search,
 }

@@ -1 +1 @@
-"""quarry streaming."""
+"""Structured Streaming entry points."""

@@ -290,6 +290,18 @@ def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FS.fuzzy_topk(queries, docs, 5, CFG.broadcast_max_rows)
 
 
+def blended_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy 0.6 * cosine + 0.4 * token_set_ratio / 100 top-3 with source and snippet.
+
+    No SQL oracle: exact token_set_ratio of long texts needs an LCS per pair;
+    tested against a brute-force Python implementation on a fixture.
+    """
+    idx = _index(spark, sf_dir)
+    res = FS.blended_search(idx, C.read_benchmark_queries(spark, sf_dir), k=3, max_broadcast_rows=CFG.broadcast_max_rows)
+    docs = idx.docs.select("doc_id", "source", T.snippet("text").alias("snippet"))
+    return res.join(docs, "doc_id")
+
+
 # ---------------------------------------------------------------------------
 # two-stage retrieval and evaluation
 # ---------------------------------------------------------------------------
@@ -432,4 +444,5 @@ REGISTRY = {
     "judged_export": judged_export,
     "index_roundtrip": index_roundtrip,
     "stream_search": stream_search,
+    "blended_search": blended_search,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,21 @@ def hash_bucket(h: Column, dims: int) -> Column:
 def hash_sign(h: Column, dims: int) -> Column:
     """+1 when floor(h / dims) is even, else -1."""
     return F.when(F.pmod(F.floor(h / F.lit(dims)), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def bucket_vectors(entries: DataFrame, id_col: str, dims: int, all_ids: DataFrame | None = None) -> DataFrame:
+    """(id, b, v) entries, b in [0, dims) -> (id, unit ARRAY<DOUBLE> of length dims), summing v per bucket.
+
+    One hash aggregate per id with ``dims`` primitive buffers (map-side
+    combined, so each input partition emits one row per id). Ids of
+    ``all_ids`` without entries get the zero vector: they enter the same
+    aggregate as entry-less rows, so no join is needed.
+    """
+    rows = entries.select(F.col(id_col), F.col("b").cast("int").alias("b"), F.col("v").cast("double").alias("v"))
+    if all_ids is not None:
+        rows = rows.unionByName(all_ids.select(F.col(id_col), F.lit(None).cast("int").alias("b"),
+                                               F.lit(None).cast("double").alias("v")))
+    wide = rows.groupBy(id_col).agg(
+        *[F.sum(F.when(F.col("b") == i, F.col("v")).otherwise(F.lit(0.0))).alias(f"_b{i}") for i in range(dims)]
+    )
+    return wide.select(F.col(id_col), normalize(F.array(*[F.col(f"_b{i}") for i in range(dims)])).alias("embedding"))

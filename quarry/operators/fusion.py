@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import MINMAX_EPS_FIXED, RRF_K_FIXED
 from quarry.plans.sizing import bounded_broadcast
+from quarry.session import written
 
 _INF = float("inf")
 
@@ -78,18 +79,19 @@ def row_key(score: Column, doc: Column) -> Column:
 
 
 def count_ahead(rows: DataFrame, keys: DataFrame, max_keys: int, max_broadcast_rows: int,
-                rows_carry_keys: bool = False) -> DataFrame:
+                rows_carry_keys: bool = False, n_queries: int | None = None) -> DataFrame:
     """For each key (query_id, doc_id, score): ``ahead`` = number of rows ranked strictly before it.
 
     Order is ``score DESC, doc_id ASC``; a row equal to the key is not counted.
     ``rows`` (query_id, doc_id, score) may be large; keys are few per query.
-    If ``rows_carry_keys`` the rows already hold the ``ks`` column.
+    If ``rows_carry_keys`` the rows already hold the ``ks`` column. ``n_queries``,
+    when known, bounds the key table (one row per query) without a counting job.
     """
     ks = sorted_keys(keys)
     if rows_carry_keys:
         joined = rows
     else:
-        joined = rows.join(bounded_broadcast(ks, max_broadcast_rows), "query_id")
+        joined = rows.join(bounded_broadcast(ks, max_broadcast_rows, n_queries), "query_id")
     keyed = joined.select("query_id", "ks", row_key(F.col("score"), F.col("doc_id")).alias("rk"))
     slots = (
         keyed.select("query_id", slot_expr(F.col("ks"), F.col("rk"), max_keys).alias("slot"))
@@ -104,6 +106,49 @@ def count_ahead(rows: DataFrame, keys: DataFrame, max_keys: int, max_broadcast_r
     return per_slot.select("query_id", "doc_id", F.sum("n").over(w).cast("long").alias("ahead"))
 
 
+def _prefix_counts(pos: DataFrame, slots: DataFrame) -> DataFrame:
+    """(query_id, slot, doc_id) key positions + (query_id, slot, n) row counts -> (query_id, doc_id, ahead)."""
+    per_slot = pos.join(slots, ["query_id", "slot"], "left").fillna(0, subset=["n"])
+    w = Window.partitionBy("query_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    return per_slot.select("query_id", "doc_id", F.sum("n").over(w).cast("long").alias("ahead"))
+
+
+def sparse_rank_counts(rows: DataFrame, keys_pos: DataFrame, keys_zero: DataFrame, max_keys: int,
+                       max_broadcast_rows: int, n_queries: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over the positive-score rows (query_id, doc_id, score) for three counts.
+
+    * ``ahead`` of each positive key (query_id, doc_id, score): rows ranked strictly before it;
+    * ``before`` of each zero-score key (query_id, doc_id): positive rows with a smaller doc_id;
+    * ``P`` per query: the number of positive rows.
+
+    Every row gets both binary-search slots (struct keys by rank, doc ids in
+    ascending order) and is counted once per kind in a partial aggregate.
+    The small slot-count table is written once; the three frames are read from it.
+    Returns (ahead, before, P).
+    """
+    ks = sorted_keys(keys_pos)
+    ds = keys_zero.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ds"))
+    kq = ks.join(ds, "query_id", "full")
+    joined = rows.join(bounded_broadcast(kq, max_broadcast_rows, n_queries), "query_id", "left")   # 1 row / query
+    slots = joined.select(
+        "query_id",
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("kind"),
+                     slot_expr(F.col("ks"), row_key(F.col("score"), F.col("doc_id")), max_keys).alias("slot")),
+            F.struct(F.lit(1).alias("kind"), slot_expr(F.col("ds"), F.col("doc_id"), max_keys).alias("slot")),
+        )).alias("e"),
+    ).groupBy("query_id", F.col("e.kind").alias("kind"), F.col("e.slot").alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"))
+    slots = written(slots, "slots")    # small (<= 2 (max_keys + 1) rows per query), read three times
+    pos_k = ks.select("query_id", F.posexplode("ks").alias("slot", "k")).select(
+        "query_id", "slot", F.col("k.d").alias("doc_id"))
+    pos_z = ds.select("query_id", F.posexplode("ds").alias("slot", "doc_id"))
+    ahead = _prefix_counts(pos_k, slots.filter(F.col("kind") == 0).drop("kind"))
+    before = _prefix_counts(pos_z, slots.filter(F.col("kind") == 1).drop("kind")).withColumnRenamed("ahead", "before")
+    n_pos = slots.filter(F.col("kind") == 0).groupBy("query_id").agg(F.sum("n").cast("long").alias("P"))
+    return ahead, before, n_pos
+
+
 # ---------------------------------------------------------------------------
 # generic fusion of ranked lists (any number of engines)
 # ---------------------------------------------------------------------------

@@ -96,19 +96,8 @@ def build_index(
 def hash_vectors(terms: DataFrame, docs: DataFrame, dims: int) -> DataFrame:
     """Signed-hash unit vectors from the forward table (same values as ``dense.hash_encoder``)."""
     h = V.token_hash(F.col("term"))
-    per_bucket = (
-        terms.select("doc_id", V.hash_bucket(h, dims).alias("b"), (V.hash_sign(h, dims) * F.col("tf")).alias("s"))
-        .groupBy("doc_id", "b").agg(F.sum("s").alias("v"))
-    )
-    wide = per_bucket.groupBy("doc_id").agg(
-        *[F.sum(F.when(F.col("b") == i, F.col("v")).otherwise(F.lit(0.0))).alias(f"_b{i}") for i in range(dims)]
-    )
-    vec = V.normalize(F.array(*[F.col(f"_b{i}") for i in range(dims)]))
-    zero = F.array(*[F.lit(0.0) for _ in range(dims)])
-    return (
-        docs.select("doc_id").join(wide.select("doc_id", vec.alias("embedding")), "doc_id", "left")
-        .select("doc_id", F.coalesce("embedding", zero).alias("embedding"))
-    )
+    entries = terms.select("doc_id", V.hash_bucket(h, dims).alias("b"), (V.hash_sign(h, dims) * F.col("tf")).alias("v"))
+    return V.bucket_vectors(entries, "doc_id", dims, all_ids=docs.select("doc_id"))
 
 
 def index_for(spark: SparkSession, sf_dir: str, cfg: IndexConfig = IndexConfig(), docs: DataFrame | None = None,

@@ -64,3 +64,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df, name: str = "stage"):
+    """Cut lineage: write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
+
+    One job (an eager ``checkpoint()`` of an unpersisted frame computes it
+    twice), columnar, and it survives executor loss.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -36,6 +36,9 @@ def _collect_patterns(passages: DataFrame) -> list[tuple[int, str]]:
 
 def contains_relevance(docs: DataFrame, passages: DataFrame) -> DataFrame:
     pats = passages.filter(~T.is_blank("text")).select("item_id", F.col("text").alias("_p"))
+    st = pats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_p")), F.lit(0)).alias("c")).collect()[0]
+    if st["n"] > MAX_PATTERNS or st["c"] > MAX_PATTERN_CHARS:   # the broadcast side is checked
+        raise ValueError("too many passages to broadcast; split the passage table")
     return docs.select("doc_id", "text").crossJoin(F.broadcast(pats)).filter(
         F.col("text").contains(F.col("_p"))).select("item_id", "doc_id")
 

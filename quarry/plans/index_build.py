@@ -26,7 +26,7 @@ from quarry.sources import index_io
 from quarry.sources.corpus import read_corpus
 
 _BUILT: dict[str, str] = {}
-INDEX_FORMAT = 1   # bump when the layout or any formula changes
+INDEX_FORMAT = 3   # bump when the layout or any formula changes
 
 
 def forward_terms(docs: DataFrame, cfg: IndexConfig) -> DataFrame:

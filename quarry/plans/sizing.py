@@ -28,27 +28,36 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, known_row
 def dense_ordinal(df: DataFrame, order_col: str, out_col: str = "ord", n_partitions: int | None = None) -> DataFrame:
     """Add a 0-based dense ordinal by ``order_col`` (unique) without a single-partition window.
 
-    Range-partition, sort inside partitions, number rows per partition with
-    ``monotonically_increasing_id`` (partition id in the upper bits), and add the
-    row counts of all earlier partitions (a table with one row per partition).
+    The key column alone is range-partitioned, sorted inside partitions and
+    numbered per partition with ``monotonically_increasing_id`` (partition id in
+    the upper bits), then **written once**: range bounds come from sampling
+    shuffle output, whose order is not deterministic, so the numbering and the
+    per-partition row counts must be read from the same evaluation. The row
+    counts of all earlier partitions (a table with one row per partition) give
+    the offsets; the ordinals are joined back to ``df`` by key.
     """
+    from quarry.session import written
+
     spark = df.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(n, F.col(order_col))
+    ranged = written(
+        df.select(order_col).repartitionByRange(n, F.col(order_col))
         .sortWithinPartitions(order_col)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_mid", F.monotonically_increasing_id()),
+        "ordinal",
     )
-    ranged = ranged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
     # one row per partition: bounded by the partition count
-    out = ranged.join(F.broadcast(offsets), "_pid").withColumn(out_col, (F.col("_off") + F.col("_pos")).cast("long"))
-    return out.drop("_pid", "_mid", "_pos", "_off")
+    ords = ranged.join(F.broadcast(offsets), "_pid").select(order_col, (F.col("_off") + pos).cast("long").alias(out_col))
+    if df.columns == [order_col]:
+        return ords
+    return df.join(ords, order_col)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

@@ -128,7 +128,7 @@ def sparse_rank_counts(rows: DataFrame, keys_pos: DataFrame, keys_zero: DataFram
     """
     ks = sorted_keys(keys_pos)
     ds = keys_zero.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ds"))
-    kq = ks.join(ds, "query_id", "full")
+    kq = written(ks.join(ds, "query_id", "full"), "rank-keys")   # one row per query
     joined = rows.join(bounded_broadcast(kq, max_broadcast_rows, n_queries), "query_id", "left")   # 1 row / query
     slots = joined.select(
         "query_id",

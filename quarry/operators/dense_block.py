@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_QUERY_CELLS = 50_000_000    # |queries| x dims doubles shipped to every task
+MAX_QUERY_CELLS = 16_000_000    # |queries| x dims doubles shipped to every task (128 MB)
 MARGIN = 1e-6                   # far above float noise, below the 6-digit rounding step
 
 

@@ -6,7 +6,8 @@ read back by both the TF-IDF branch and the hash-encoder branch, so the text
 is scanned once and each branch starts from a written table (lineage cut).
 
 Shuffles: (doc_id, term) for term counts, term for document frequency,
-doc_id for row norms, and the range partitioning of postings by term.
+doc_id for row norms, and the range partitioning of postings by (term, doc_id),
+sized from the measured row count (~128 MB per partition).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry.config import IndexConfig
 from quarry.functions import text as T
 from quarry.functions import vector as V
-from quarry.plans.sizing import bounded_broadcast, dense_ordinal, spread
+from quarry.plans.sizing import bounded_broadcast, dense_ordinal, partitions_for, spread
 from quarry.session import checkpoint_dir
 from quarry.sources import index_io
 from quarry.sources.corpus import read_corpus
@@ -60,7 +61,7 @@ def build_index(
 ) -> index_io.Index:
     """Write all index tables under ``path`` and return them loaded from Parquet."""
     spark = docs.sparkSession
-    parts = postings_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = spread(docs.select("doc_id", "text", "source", "label"))
 
     # docs with dense ordinal (ranks of zero-score ties need #docs before an id)
@@ -70,6 +71,8 @@ def build_index(
 
     forward_terms(docs_w, cfg).write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
+    # postings rows (term, doc_id, tf, weight) are ~48 bytes in memory: ~128 MB per partition
+    parts = postings_partitions or partitions_for(terms.count(), 48, shuffle_parts)
 
     tf, vocab = tfidf_tables(terms, n_docs, cfg, max_broadcast_rows)
     dense_ordinal(vocab, "term", "term_index").write.mode("overwrite").parquet(f"{path}/vocab")
@@ -80,7 +83,9 @@ def build_index(
     w = w.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     postings = w.select("term", "doc_id", "tf", (F.col("w") / norm).alias("weight"))
-    (postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id")
+    # ranges over (term, doc_id): a term's postings stay contiguous, and a hot term
+    # (df up to max_df * n) is split over several partitions instead of landing in one
+    (postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").parquet(f"{path}/postings"))
 
     hash_vectors(terms, docs_w, cfg.hash_dims).write.mode("overwrite").parquet(f"{path}/doc_vec")

@@ -25,6 +25,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, known_row
     return F.broadcast(df) if small else df
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def partitions_for(rows: int, row_bytes: int, floor: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count so that each holds about ``target_bytes`` (never below ``floor``)."""
+    return max(int(floor), -(-int(rows) * int(row_bytes) // int(target_bytes)))
+
+
 def dense_ordinal(df: DataFrame, order_col: str, out_col: str = "ord", n_partitions: int | None = None) -> DataFrame:
     """Add a 0-based dense ordinal by ``order_col`` (unique) without a single-partition window.
 

@@ -13,12 +13,18 @@ ordering stay in the JVM (``F.round``, ``row_number``).
 * ``topn_superset`` -- per batch, each query's top-n by raw score plus all rows
   within a margin of the n-th, a superset of the exact rounded top-n.
 
-The query matrix travels as a broadcast variable after a size check; larger
-query sets use the expression path (cartesian product without broadcast).
+The query matrix travels as a broadcast variable after a size check. Larger
+query sets take ``blocked_pairs``: queries and documents are hashed into
+blocks, each document block is replicated to every query block (and each
+query block to every document block), and a cogroup per (query block,
+document block) runs the same kernel on document chunks -- a distributed
+block product with bounded memory per group and nothing passing through the
+driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +36,9 @@ MAX_QUERY_CELLS = 16_000_000    # |queries| x dims doubles shipped to every task
 MARGIN = 1e-6                   # far above float noise, below the 6-digit rounding step
 
 
-def query_matrix(qv: DataFrame, max_cells: int = MAX_QUERY_CELLS):
+def query_matrix(qv: DataFrame, max_cells: int | None = None):
     """(ids, matrix, dims) of the query vectors, or None when too large to broadcast."""
+    max_cells = MAX_QUERY_CELLS if max_cells is None else max_cells
     stats = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).collect()[0]
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n == 0 or n * max(d, 1) > max_cells:
@@ -94,3 +101,63 @@ def topn_superset(doc_vec: DataFrame, qm, n: int) -> DataFrame:
             yield pd.DataFrame({"query_id": qids[c], "doc_id": docs[r], "raw": s[r, c]})
 
     return doc_vec.select("doc_id", "embedding").mapInPandas(fn, "query_id long, doc_id long, raw double")
+
+
+QUERY_BLOCK_ROWS = 8_192        # queries per block in the blocked product
+DOC_BLOCK_ROWS = 262_144        # documents per block (their vectors stay in one group)
+DOC_CHUNK_ROWS = 2_048          # score matrix per step: chunk x query block doubles
+
+
+def _keep(s: np.ndarray, n: int | None, floor_arr: np.ndarray | None):
+    """Row/column indices kept from a (docs x queries) score matrix."""
+    if n is not None and s.shape[0] > n:
+        nth = -np.partition(-s, n - 1, axis=0)[n - 1]
+        return np.nonzero(s >= (nth - MARGIN)[None, :])
+    if floor_arr is not None:
+        return np.nonzero(s >= floor_arr[None, :])
+    r, c = np.indices(s.shape)
+    return r.ravel(), c.ravel()
+
+
+def blocked_pairs(doc_vec: DataFrame, qv: DataFrame, n_docs: int, n_queries: int, n: int | None = None,
+                  floors: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, raw) like ``pair_scores`` / ``topn_superset`` without broadcasting the queries.
+
+    ``n``: keep, per query and document chunk, the rows within MARGIN of the
+    chunk's n-th best (a superset of the exact top-n). ``floors`` (query_id,
+    floor): keep rows with raw >= floor - MARGIN. Neither: every pair.
+    """
+    qb_n = max(1, math.ceil(n_queries / QUERY_BLOCK_ROWS))
+    db_n = max(1, math.ceil(n_docs / DOC_BLOCK_ROWS))
+    q = qv.select("query_id", "embedding")
+    if floors is not None:
+        q = q.join(floors.select("query_id", "floor"), "query_id")
+    else:
+        q = q.withColumn("floor", F.lit(None).cast("double"))
+    # fresh aliases: both sides may come from one frame (documents against documents)
+    q = q.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("floor").alias("floor"),
+                 F.pmod(F.xxhash64("query_id"), F.lit(qb_n)).cast("int").alias("qb"),
+                 F.explode(F.sequence(F.lit(0), F.lit(db_n - 1))).alias("db"))
+    d = doc_vec.select(F.col("doc_id").alias("doc_id"), F.col("embedding").alias("dvec"),
+                       F.pmod(F.xxhash64("doc_id"), F.lit(db_n)).cast("int").alias("db"),
+                       F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1))).alias("qb"))
+
+    has_floor, chunk_rows = floors is not None, DOC_CHUNK_ROWS
+
+    def fn(dpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if dpdf.empty or qpdf.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "raw": []}).astype(
+                {"query_id": "int64", "doc_id": "int64", "raw": "float64"})
+        qids = qpdf["query_id"].to_numpy()
+        qm = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64, copy=False)
+        floor_arr = qpdf["floor"].to_numpy(dtype=np.float64) - MARGIN if has_floor else None
+        out = []
+        for lo in range(0, len(dpdf), chunk_rows):
+            chunk = dpdf.iloc[lo:lo + chunk_rows]
+            s = _scores(chunk["dvec"], qm)
+            r, c = _keep(s, n, floor_arr)
+            out.append(pd.DataFrame({"query_id": qids[c], "doc_id": chunk["doc_id"].to_numpy()[r], "raw": s[r, c]}))
+        return pd.concat(out, ignore_index=True)
+
+    return d.groupBy("qb", "db").cogroup(q.groupBy("qb", "db")).applyInPandas(
+        fn, "query_id long, doc_id long, raw double")

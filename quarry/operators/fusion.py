@@ -12,7 +12,7 @@ whole query into one task, so instead:
 * **Exact ranks by counting (no sort).** The rank of a candidate is
   1 + the number of documents ahead of it. Per query the candidate keys are
   sorted into one small array; every scored row finds, by a binary search
-  written as a nested CASE expression (codegen, log2(m) comparisons), how many
+  done by binary lifting (one projection per halving step, log2(m) comparisons), how many
   keys are ahead of it; a ``groupBy(query, slot).count()`` and a prefix sum over
   the slots give all candidate ranks in one distributed pass.
 * **Threshold loop (weighted).** Min-max fusion is monotone in both scores, so
@@ -57,21 +57,22 @@ def sorted_keys(keys: DataFrame) -> DataFrame:
     )
 
 
-def slot_expr(ks: Column, row_key: Column, max_keys: int) -> Column:
-    """Number of keys ahead of, or equal to, the row -- binary search over the sorted key array.
+def add_slot(df: DataFrame, ks: str, row_key_col: Column, max_keys: int, out: str) -> DataFrame:
+    """Add ``out`` = number of keys ahead of, or equal to, the row, by binary lifting over the sorted keys.
 
-    Keys and ``row_key`` are struct(ns = -score, d = doc_id); struct ordering is
-    lexicographic, so ``key <= row`` means "key ranks before or equals the row".
-    ``F.get`` is NULL past the end of a shorter array, which reads as "not ahead",
-    so one expression serves queries with any number of keys.
+    Keys are ascending (struct(ns = -score, d = doc_id) compares lexicographically,
+    or plain doc ids), so "key <= row" holds for a prefix of the array. One
+    projection per halving step (log2(max_keys) + 1 of them, each a single
+    ``get`` and comparison) finds the prefix length. ``F.get`` past the end of a
+    shorter array (or on a NULL array) is NULL and reads as "not ahead", so one
+    chain serves queries with any number of keys up to ``max_keys``.
     """
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.get(ks, mid) <= row_key, node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    return node(0, max_keys)
+    df = df.withColumn("_rk", row_key_col).withColumn(out, F.lit(0))
+    for e in range(max(max_keys, 1).bit_length() - 1, -1, -1):
+        step = 1 << e
+        ahead = F.coalesce(F.get(F.col(ks), F.col(out) + F.lit(step - 1)) <= F.col("_rk"), F.lit(False))
+        df = df.withColumn(out, F.when(ahead, F.col(out) + F.lit(step)).otherwise(F.col(out)))
+    return df.drop("_rk")
 
 
 def row_key(score: Column, doc: Column) -> Column:
@@ -92,11 +93,9 @@ def count_ahead(rows: DataFrame, keys: DataFrame, max_keys: int, max_broadcast_r
         joined = rows
     else:
         joined = rows.join(bounded_broadcast(ks, max_broadcast_rows, n_queries), "query_id")
-    keyed = joined.select("query_id", "ks", row_key(F.col("score"), F.col("doc_id")).alias("rk"))
-    slots = (
-        keyed.select("query_id", slot_expr(F.col("ks"), F.col("rk"), max_keys).alias("slot"))
-        .groupBy("query_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    )
+    keyed = add_slot(joined.select("query_id", "ks", "score", "doc_id"), "ks",
+                     row_key(F.col("score"), F.col("doc_id")), max_keys, "slot")
+    slots = keyed.groupBy("query_id", "slot").agg(F.count(F.lit(1)).alias("n"))
     # position of every key in its query's sorted array
     pos = ks.select("query_id", F.posexplode("ks").alias("slot", "k")).select(
         "query_id", "slot", F.col("k.d").alias("doc_id")
@@ -130,12 +129,13 @@ def sparse_rank_counts(rows: DataFrame, keys_pos: DataFrame, keys_zero: DataFram
     ds = keys_zero.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ds"))
     kq = written(ks.join(ds, "query_id", "full"), "rank-keys")   # one row per query
     joined = rows.join(bounded_broadcast(kq, max_broadcast_rows, n_queries), "query_id", "left")   # 1 row / query
+    joined = add_slot(joined, "ks", row_key(F.col("score"), F.col("doc_id")), max_keys, "_s0")
+    joined = add_slot(joined, "ds", F.col("doc_id"), max_keys, "_s1")
     slots = joined.select(
         "query_id",
         F.explode(F.array(
-            F.struct(F.lit(0).alias("kind"),
-                     slot_expr(F.col("ks"), row_key(F.col("score"), F.col("doc_id")), max_keys).alias("slot")),
-            F.struct(F.lit(1).alias("kind"), slot_expr(F.col("ds"), F.col("doc_id"), max_keys).alias("slot")),
+            F.struct(F.lit(0).alias("kind"), F.col("_s0").alias("slot")),
+            F.struct(F.lit(1).alias("kind"), F.col("_s1").alias("slot")),
         )).alias("e"),
     ).groupBy("query_id", F.col("e.kind").alias("kind"), F.col("e.slot").alias("slot")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -103,6 +103,28 @@ def topn_superset(doc_vec: DataFrame, qm, n: int) -> DataFrame:
     return doc_vec.select("doc_id", "embedding").mapInPandas(fn, "query_id long, doc_id long, raw double")
 
 
+def minmax_partials(doc_vec: DataFrame, qm) -> DataFrame:
+    """(query_id, lo, hi): raw score range of each query over each batch of documents.
+
+    Min-max fusion needs only each query's extreme scores over the corpus, so
+    a batch emits one row per query instead of one per pair; the caller
+    finishes with min / max per query (rounding is monotone, so rounding the
+    extremes equals the extremes of rounded scores).
+    """
+    ids, mat, _ = qm
+    bc = doc_vec.sparkSession.sparkContext.broadcast((ids, mat))
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, q = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            s = _scores(pdf["embedding"], q)
+            yield pd.DataFrame({"query_id": qids, "lo": s.min(axis=0), "hi": s.max(axis=0)})
+
+    return doc_vec.select("doc_id", "embedding").mapInPandas(fn, "query_id long, lo double, hi double")
+
+
 QUERY_BLOCK_ROWS = 8_192        # queries per block in the blocked product
 DOC_BLOCK_ROWS = 262_144        # documents per block (their vectors stay in one group)
 DOC_CHUNK_ROWS = 2_048          # score matrix per step: chunk x query block doubles

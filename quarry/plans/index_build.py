@@ -27,7 +27,7 @@ from quarry.sources import index_io
 from quarry.sources.corpus import read_corpus
 
 _BUILT: dict[str, str] = {}
-INDEX_FORMAT = 3   # bump when the layout or any formula changes
+INDEX_FORMAT = 4   # bump when the layout or any formula changes
 
 
 def forward_terms(docs: DataFrame, cfg: IndexConfig) -> DataFrame:
@@ -64,10 +64,11 @@ def build_index(
     shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = spread(docs.select("doc_id", "text", "source", "label"))
 
-    # docs with dense ordinal (ranks of zero-score ties need #docs before an id)
-    dense_ordinal(base, "doc_id").write.mode("overwrite").parquet(f"{path}/docs")
+    base.write.mode("overwrite").parquet(f"{path}/docs")
     docs_w = spark.read.parquet(f"{path}/docs")
     n_docs = docs_w.count()
+    # dense ordinal of doc_id (ranks of zero-score ties need #docs before an id): keys only, no text moves
+    dense_ordinal(docs_w.select("doc_id"), "doc_id").write.mode("overwrite").parquet(f"{path}/doc_ord")
 
     forward_terms(docs_w, cfg).write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")

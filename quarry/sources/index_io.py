@@ -2,7 +2,8 @@
 
 Layout under one folder (a new folder per build; never overwritten in place):
 
-    docs/      doc_id, ord, text, source, label     (ord = dense rank of doc_id)
+    docs/      doc_id, text, source, label           the corpus as read (never shuffled for the index)
+    doc_ord/   doc_id, ord                           ord = dense rank of doc_id (ranks of zero-score ties)
     terms/     doc_id, term, tf                      forward index, every token of >= 2 chars
     vocab/     term, df, idf, term_index
     postings/  term, doc_id, tf, weight              range-partitioned on (term, doc_id), sorted
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.config import IndexConfig
 
-TABLES = ("docs", "terms", "vocab", "postings", "doc_vec")
+TABLES = ("docs", "doc_ord", "terms", "vocab", "postings", "doc_vec")
 
 
 class IndexNotFoundError(FileNotFoundError):
@@ -31,6 +32,7 @@ class IndexNotFoundError(FileNotFoundError):
 class Index:
     path: str
     docs: DataFrame
+    doc_ord: DataFrame
     terms: DataFrame
     vocab: DataFrame
     postings: DataFrame

@@ -46,12 +46,17 @@ def test_wordlist_loader_strips_and_dedupes(spark, tmp_path):
 
 
 def test_ordinals_are_dense_and_unique(index001):
-    """docs.ord and vocab.term_index are exactly 0..n-1 in key order (their input comes out of shuffles)."""
+    """doc_ord.ord and vocab.term_index are exactly 0..n-1 in key order (their input comes out of shuffles)."""
     from pyspark.sql import functions as F
 
-    for df, key, ordc in ((index001.docs, "doc_id", "ord"), (index001.vocab, "term", "term_index")):
+    for df, key, ordc in ((index001.doc_ord, "doc_id", "ord"), (index001.vocab, "term", "term_index")):
         st = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(ordc).alias("d"),
                     F.min(ordc).alias("lo"), F.max(ordc).alias("hi")).first()
         assert (st["d"], st["lo"], st["hi"]) == (st["n"], 0, st["n"] - 1), (ordc, st)
         keys = [r[0] for r in df.orderBy(ordc).select(key).collect()]
         assert keys == sorted(keys)
+
+
+def test_doc_ord_covers_docs(index001):
+    assert index001.doc_ord.count() == index001.docs.count() == index001.n_docs
+    assert index001.docs.join(index001.doc_ord, "doc_id", "left_anti").count() == 0

@@ -27,7 +27,7 @@ from quarry.sources import index_io
 from quarry.sources.corpus import read_corpus
 
 _BUILT: dict[str, str] = {}
-INDEX_FORMAT = 4   # bump when the layout or any formula changes
+INDEX_FORMAT = 5   # bump when the layout or any formula changes
 
 
 def forward_terms(docs: DataFrame, cfg: IndexConfig) -> DataFrame:
@@ -80,10 +80,12 @@ def build_index(
     vocab_w = spark.read.parquet(f"{path}/vocab")
     vocab_size = vocab_w.count()
 
-    w = tf.join(bounded_broadcast(vocab_w.select("term", "idf"), max_broadcast_rows, vocab_size), "term")
+    w = tf.join(bounded_broadcast(vocab_w.select("term", "idf", "term_index"), max_broadcast_rows, vocab_size), "term")
     w = w.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    postings = w.select("term", "doc_id", "tf", (F.col("w") / norm).alias("weight"))
+    # term_index (integer) is the join key of the searches; the term string stays for reports
+    postings = w.select("term", F.col("term_index").cast("int").alias("term_index"), "doc_id", "tf",
+                        (F.col("w") / norm).alias("weight"))
     # ranges over (term, doc_id): a term's postings stay contiguous, and a hot term
     # (df up to max_df * n) is split over several partitions instead of landing in one
     (postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")

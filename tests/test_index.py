@@ -60,3 +60,28 @@ def test_ordinals_are_dense_and_unique(index001):
 def test_doc_ord_covers_docs(index001):
     assert index001.doc_ord.count() == index001.docs.count() == index001.n_docs
     assert index001.docs.join(index001.doc_ord, "doc_id", "left_anti").count() == 0
+
+
+def test_sizing_helpers(spark):
+    from quarry.plans.sizing import bounded_broadcast, partitions_for, row_count_at_most
+
+    assert partitions_for(0, 48, 8) == 8                                   # never below the floor
+    assert partitions_for(10_000_000, 48, 8) == 8                          # 480 MB -> 4 partitions < floor
+    assert partitions_for(100_000_000, 48, 8) == 36                        # 4.8 GB / 128 MB, rounded up
+    df = spark.range(0, 100)
+    assert row_count_at_most(df, 100) and not row_count_at_most(df, 99)
+    small = bounded_broadcast(df, 100)
+    big = bounded_broadcast(df, 99)
+    plan_small = _plan_text(small.join(spark.range(0, 1000), "id"))
+    plan_big = _plan_text(big.join(spark.range(0, 1000), "id"))
+    assert "broadcast" in plan_small.lower() and "broadcast" not in plan_big.lower()
+
+
+def _plan_text(df) -> str:
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(extended=True)
+    return buf.getvalue().split("== Physical Plan ==")[0]   # logical plans: the hint, not the runtime choice

@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm import textbuf as T
 from quarry.llm.components import components
+from quarry.plans.sizing import bounded_broadcast
 from quarry.session import written
 
+#: ids (8 bytes each) that may be broadcast to pick texts; more of them take a shuffle join
+MOST_BROADCAST_IDS = 2_000_000
+
 
 @dataclass(frozen=True)
 class NearDedup:
@@ -139,10 +143,9 @@ def _likely(pairs: DataFrame, sig: DataFrame, cfg: NearDedup) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
-    """Pairs that reach the threshold on their full shingle sets."""
+def _full_sets(ids: DataFrame, docs: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, full: the sorted distinct shingles of the wanted ids. The ids are broadcast while they are few."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(batches):
         for batch in batches:
@@ -150,60 +153,83 @@ def _links(pairs: DataFrame, docs: DataFrame, cfg: NearDedup, id_col: str, text_
                 [batch.column(0), pa.array([s.tobytes() for s, _ in shingle_sets(batch.column(1), cfg)], pa.binary())],
                 names=["doc_id", "full"])
 
-    full = written(rows.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(sets, "doc_id long, full binary"), "sets")
+    ids = written(ids.distinct(), "ids")
+    wanted = rows.join(bounded_broadcast(ids, MOST_BROADCAST_IDS), "doc_id").select("doc_id", "text")
+    return written(wanted.mapInArrow(sets, "doc_id long, full binary"), "sets")
+
+
+def _linked(x: bytes, y: bytes, cfg: NearDedup) -> bool:
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return len(both) > 0 and 100 * shared >= cfg.percent * (len(both) - shared)
+
+
+def _links(pairs: DataFrame, full: DataFrame, cfg: NearDedup) -> DataFrame:
+    """Pairs that reach the threshold on their full shingle sets."""
 
     def verify(batches):
         for batch in batches:
-            keep = []
-            for fa, fb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.concatenate([np.frombuffer(fa, np.uint64), np.frombuffer(fb, np.uint64)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(len(both) > 0 and 100 * shared >= cfg.percent * (len(both) - shared))
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array([_linked(x, y, cfg) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     side = lambda c: full.select(F.col("doc_id").alias(c), F.col("full").alias(f"full_{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "full_a", "full_b").mapInArrow(verify, "a long, b long")
 
 
-def _blocks(members: DataFrame, sig: DataFrame, cfg: NearDedup) -> DataFrame:
-    """Likely pairs across components within each bucket, in blocks of bounded size.
+def _blocks(members: DataFrame, sig: DataFrame, full: DataFrame, cfg: NearDedup) -> DataFrame:
+    """Links across components within each bucket, in blocks of bounded size.
 
     members: key, rep, label. A bucket of g members is dealt to ceil(g / block) parts by id, and
-    each pair of parts is one unit of at most two parts.
+    each pair of parts is one unit of at most two parts. A unit compares signatures of members of
+    different components, then verifies likely pairs on full sets, the likeliest first; a pair
+    whose components the unit has already joined needs no test, so a unit returns fewer links
+    than it has members.
     """
     steps = least_matches(cfg.batch, cfg.values, cfg.percent / 100, cfg.miss)
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("parts"))
     dealt = members.join(size, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label")
-    filled = units.join(sig, "rep").groupBy("key", "i", "j").agg(
-        F.collect_list(F.struct("part", "rep", "label", "sig")).alias("m"))
+    what = sig.join(full.withColumnRenamed("doc_id", "rep"), "rep")
+    filled = units.join(what, "rep").groupBy("key", "i", "j").agg(
+        F.collect_list(F.struct("part", "rep", "label", "sig", "full")).alias("m"))
+
+    def unit(i, j, m):
+        part, rep, label = (np.asarray(m.field(c)) for c in ("part", "rep", "label"))
+        s = np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u2").reshape(-1, cfg.values)
+        sets, right = m.field("full").to_pylist(), np.flatnonzero(part == j)
+        likely = []
+        for x in np.flatnonzero(part == i):
+            y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (i != j))]
+            equal, was = np.zeros(len(y), np.int32), 0
+            for n, least in steps:
+                if not len(y):
+                    break
+                equal += (s[y, was:n] == s[x, was:n]).sum(axis=1, dtype=np.int32)
+                stay = equal >= least
+                y, equal, was = y[stay], equal[stay], n
+            likely += [(-e, int(x), v) for e, v in zip(equal.tolist(), y.tolist())]
+        up: dict = {}
+
+        def root(c):
+            while c in up:
+                c = up[c]
+            return c
+
+        for _, x, y in sorted(likely):
+            p, q = root(int(label[x])), root(int(label[y]))
+            if p != q and _linked(sets[x], sets[y], cfg):
+                up[max(p, q)] = min(p, q)
+                yield int(rep[x]), int(rep[y])
 
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, j, m = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].values
-                part, rep, label = (np.asarray(m.field(c)) for c in ("part", "rep", "label"))
-                s = np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u2").reshape(-1, cfg.values)
-                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-                out_a, out_b = [], []
-                for x in left:
-                    y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (i != j))]
-                    equal, was = np.zeros(len(y), np.int32), 0
-                    for n, least in steps:
-                        if not len(y):
-                            break
-                        equal += (s[y, was:n] == s[x, was:n]).sum(axis=1, dtype=np.int32)
-                        stay = equal >= least
-                        y, equal, was = y[stay], equal[stay], n
-                    out_a.append(np.minimum(rep[x], rep[y]))
-                    out_b.append(np.maximum(rep[x], rep[y]))
-                if out_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    return filled.select("i", "j", "m").mapInArrow(run, "a long, b long").distinct()
+            found = [e for r in range(batch.num_rows)
+                     for e in unit(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].values)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return filled.select("i", "j", "m").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,14 +254,15 @@ def near_duplicates(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str =
     members = written(banded.join(shared, "key").filter("rep <> centre"), "members")
 
     stars = members.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(_links(written(_likely(stars, sig, cfg), "likely"), docs, cfg, id_col, text_col), "links")
+    likely = written(_likely(stars, sig, cfg), "likely")
+    sets = lambda ids: _full_sets(ids, docs, cfg, id_col, text_col)
+    first = written(_links(likely, sets(likely.select(F.explode(F.array("a", "b")).alias("doc_id"))), cfg), "links")
     label = components(first)
 
     named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     rest = written(named.join(open_, "key"), "open")
-    second = _links(written(_blocks(rest, sig, cfg), "likely"), docs, cfg, id_col, text_col)
-    links = first.unionByName(second)
+    links = first.unionByName(_blocks(rest, sig, sets(rest.select(F.col("rep").alias("doc_id"))), cfg))
     # copies hang on their class's smallest id, so they join its component without taking part in the rounds
     home = usable.join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     home = written(home, "home")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import near_dedup
+from quarry.llm import near_dedup, order_minhash, repetition
 from quarry.sources.corpus import read_table
 
 
@@ -14,7 +14,19 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of whole ``documents`` texts and of their edited texts."""
+    return order_minhash.edit_sensitivity(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality counts and suffix-array repetition of whole ``documents`` texts."""
+    return repetition.quality_rules(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
+    "op3_order_minhash": op3_order_minhash,
     "op4_near_dedup": op4_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}

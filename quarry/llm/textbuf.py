@@ -38,21 +38,20 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch: byte ``start`` and ``end``, and per document the range ``first[d]:first[d + 1]``."""
+    """Words of a batch: byte ``start`` and ``end``, and per document the range ``first[d]:first[d + 1]``.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray):
+    A word is a maximal run of bytes of one class; class 0 separates.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray):
         self.data, self.offsets = data, offsets
         n = len(data)
-        inside = np.zeros(n + 1, dtype=bool)
-        inside[:n] = word_class[data]
-        begins, ends = inside.copy(), np.zeros(n + 1, dtype=bool)
-        begins[1:] &= ~inside[:-1]
-        ends[1:] = inside[:-1] & ~inside[1:]
-        cut = offsets[1:-1]  # a word never runs on into the next document
-        cut = cut[cut > 0]
-        begins[cut] |= inside[cut]
-        ends[cut] |= inside[cut - 1]
-        self.start, self.end = np.flatnonzero(begins[:n]), np.flatnonzero(ends)
+        kind = np.zeros(n + 2, dtype=np.uint8)
+        kind[1:-1] = byte_class[data]
+        change = kind[1:] != kind[:-1]
+        change[offsets] = True  # a word never runs on into the next document
+        self.start = np.flatnonzero(change[:n] & (kind[1:-1] != 0))
+        self.end = np.flatnonzero(change[1:] & (kind[1:-1] != 0)) + 1
         self.first = np.searchsorted(self.start, offsets)
 
     def __len__(self) -> int:

@@ -29,7 +29,7 @@ _FOLD = np.uint64(0x9E3779B97F4A7C15)
 class OrderMinHash:
     """``bins`` is a power of two; k is a power of two of at least 2."""
 
-    k: int = 8
+    k: int = 4
     bins: int = 64
     kept: int = 2
     sample: int = 10

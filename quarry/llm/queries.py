@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import near_dedup, order_minhash, repetition
+from quarry.llm import licenses, near_dedup, order_minhash, quality, repetition
 from quarry.sources.corpus import read_table
 
 
@@ -14,19 +14,38 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def _held_out(column, parts: int, rest: int):
+    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts)) == rest
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole ``documents`` texts, learned from labels of rows that are not held out."""
+    held = _held_out(F.col("doc_id"), 3, 1)
+    labels = read_table(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
+    scored = quality.classify(read_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of whole ``documents`` texts and of their edited texts."""
     return order_minhash.edit_sensitivity(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in whole ``documents`` texts."""
+    return licenses.license_scan(read_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality counts and suffix-array repetition of whole ``documents`` texts."""
     return repetition.quality_rules(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_order_minhash": op3_order_minhash,
     "op4_near_dedup": op4_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, near_dedup, order_minhash, quality, repetition
+from quarry.llm import licenses, near_dedup, order_minhash, quality, repetition, toxicity
 from quarry.sources.corpus import read_table
 
 
@@ -31,6 +31,14 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_sensitivity(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole ``documents`` texts, learned from labels of rows that are not held out."""
+    held = _held_out(F.col("doc_id"), 4, 2)
+    labels = read_table(spark, sf_dir, "labels").filter(~held).select("doc_id", "toxic")
+    scored = toxicity.classify(read_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_restored")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences in whole ``documents`` texts."""
     return licenses.license_scan(read_table(spark, sf_dir, "documents")).drop("matches")
@@ -45,6 +53,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_order_minhash": op3_order_minhash,
     "op4_near_dedup": op4_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_license_scan": op7_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }

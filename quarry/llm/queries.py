@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, near_dedup, order_minhash, quality, repetition, toxicity
+from quarry.llm import licenses, near_dedup, order_minhash, quality, repetition, secrets, toxicity, warc
 from quarry.sources.corpus import read_table
 
 
@@ -39,6 +39,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_restored")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per ``pages`` row, read back."""
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences in whole ``documents`` texts."""
     return licenses.license_scan(read_table(spark, sf_dir, "documents")).drop("matches")
@@ -49,12 +54,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole ``documents`` texts."""
+    return secrets.secret_scan(read_table(spark, sf_dir, "documents")).drop("places")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_order_minhash": op3_order_minhash,
     "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_license_scan": op7_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, near_dedup, order_minhash, quality, repetition, secrets, toxicity, warc
+from quarry.llm import licenses, mixing, near_dedup, order_minhash, quality, repetition, secrets, toxicity, warc
 from quarry.sources.corpus import read_table
 
 
@@ -26,6 +26,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` mixed to domain, language and source weights."""
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), mixing.source_domain(F.col("source")), mixing.DEFAULT)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of whole ``documents`` texts and of their edited texts."""
     return order_minhash.edit_sensitivity(read_table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_mixture": op2_mixture,
     "op3_order_minhash": op3_order_minhash,
     "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,

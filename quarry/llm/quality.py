@@ -50,6 +50,13 @@ def index_vectors(cfg: QualityModel) -> tuple[np.ndarray, np.ndarray]:
     return place, rng.choice(np.array([-1, 1]), (cfg.buckets, cfg.signs))
 
 
+def _dense_index(cfg: QualityModel) -> np.ndarray:
+    place, sign = index_vectors(cfg)
+    index = np.zeros((cfg.buckets, cfg.dims), np.float32)
+    np.add.at(index, (np.arange(cfg.buckets)[:, None], place), sign / np.sqrt(cfg.signs))
+    return index
+
+
 def _parts(column, cfg: QualityModel):
     """(first document, last, first word of each, bucket of each word) of parts of a batch."""
     data, offsets = T.utf8(column)
@@ -113,9 +120,7 @@ def _pooled(first: np.ndarray, b: np.ndarray, doc: np.ndarray, vectors: np.ndarr
 
 def pooled_features(docs: DataFrame, vectors: np.ndarray, cfg: QualityModel = QualityModel(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, features (array of float): the pooled vectors of each row's whole text; zeros without words."""
-    place, sign = index_vectors(cfg)
-    index = np.zeros((cfg.buckets, cfg.dims), np.float32)
-    np.add.at(index, (np.arange(cfg.buckets)[:, None], place), sign / np.sqrt(cfg.signs))
+    index = _dense_index(cfg)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, index))  # 2 x buckets x dims floats
 
     def run(batches):
@@ -208,6 +213,25 @@ def score(features: DataFrame, network: Network) -> DataFrame:
     return features.select("doc_id", "features").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, cfg: QualityModel = QualityModel(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` predicted 1, all columns; the model is fitted as by ``classify`` and applied to the rows in place."""
+    vectors = context_vectors(docs, cfg, text_col)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(bounded_broadcast(known), "doc_id")
+    network = fit(written(pooled_features(labelled, vectors, cfg, "doc_id", "text"), "features"), labels, cfg)
+    index, at = _dense_index(cfg), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, index, network))
+
+    def run(batches):
+        v, ix, net = shared.value
+        for batch in batches:
+            for i, j, first, b, doc in _parts(batch.column(at), cfg):
+                good = net.scores(_pooled(first, b, doc, v, ix, cfg).astype(np.float64)) >= 0.5
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, cfg: QualityModel = QualityModel(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted: one row per row of ``docs``.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import licenses, mixing, near_dedup, order_minhash, quality, repetition, secrets, toxicity, warc
+from quarry.llm import sentencepiece_lattice as lattice
 from quarry.sources.corpus import read_table
 
 
@@ -18,12 +21,14 @@ def _held_out(column, parts: int, rest: int):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts)) == rest
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").filter(~_held_out(F.col("doc_id"), 3, 1)).select("doc_id", "quality")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of whole ``documents`` texts, learned from labels of rows that are not held out."""
-    held = _held_out(F.col("doc_id"), 3, 1)
-    labels = read_table(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
-    scored = quality.classify(read_table(spark, sf_dir, "documents"), labels)
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    scored = quality.classify(read_table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
+    return scored.select("doc_id", _held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def tokenizer_path() -> str:
+    """The model file on the driver: QUARRY_PIECES, else the public 32k-piece model of this box."""
+    return os.environ.get("QUARRY_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of whole ``documents`` texts."""
+    return lattice.encode(read_table(spark, sf_dir, "documents"), lattice.load_pieces(tokenizer_path()))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality counts and suffix-array repetition of whole ``documents`` texts."""
     return repetition.quality_rules(read_table(spark, sf_dir, "documents")).drop("spans")
@@ -72,6 +87,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }

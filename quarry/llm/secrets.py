@@ -122,21 +122,38 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inside another one. Null reads as empty: no spans, the hash of the empty text. A null id stays
     null. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = [k for k, *_ in BASE]
-    found = rows.select("doc_id", "text", *(_places(text, p, g, n).alias(k) for k, p, g, n in BASE))
+    found = _scanned(rows, classes, allowed)
+    out = found.select("row.doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), "places")
+    return out.select(*out.columns[:-1], _joined(F.col("places")).alias("spans"), "places")
+
+
+def _scanned(rows: DataFrame, classes, allowed: str) -> DataFrame:
+    """(row, text) -> row, text, the base kinds' places, base, places."""
+    text, kinds = F.col("text"), [k for k, *_ in BASE]
+    found = rows.select("row", "text", *(_places(text, p, g, n).alias(k) for k, p, g, n in BASE))
     spans = lambda a, kind, rank: F.transform(a, lambda s: F.struct(
         s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     candidate = "|".join(f"[{c.members}]{{{c.least},}}" for c in classes)
     more = F.when(text.rlike(candidate), F.array_distinct(F.concat(*(_entropy_places(text, c, allowed) for c in classes))))
-    found = found.select("doc_id", *kinds, F.coalesce(more, F.array().cast("array<struct<start:int,end:int>>")).alias("dense"),
+    found = found.select("row", "text", *kinds, F.coalesce(more, F.array().cast("array<struct<start:int,end:int>>")).alias("dense"),
                          F.concat(*(spans(F.col(k), k, i) for i, k in enumerate(kinds))).alias("base"))
     apart = F.filter("dense", lambda d: ~F.exists("base", lambda b: (b["start"] < d["end"]) & (d["start"] < b["end"]))
                      & ~F.exists("dense", lambda e: (e["start"] <= d["start"]) & (d["end"] <= e["end"]) & (e != d)))
-    every = F.array_sort(F.concat("base", spans(apart, "entropy", len(kinds))))
-    out = found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), every.alias("places"))
-    return out.select(*out.columns[:-1], _joined(F.col("places")).alias("spans"), "places")
+    return found.select("row", "text", *kinds, "base", F.array_sort(F.concat("base", spans(apart, "entropy", len(kinds)))).alias("places"))
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", classes=CLASSES, allowed: str = ALLOWED) -> DataFrame:
+    """``docs`` with every secret in ``text_col`` masked and ``length_col`` (if there is one) counted anew; null texts stay null."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = _scanned(rows, classes, allowed)
+    clean = found.select("row", F.when(F.size("places") > 0, masked(F.col("text"), F.col("places"))).alias("clean"))
+    types = dict(docs.dtypes)
+    new = {text_col: F.coalesce("clean", F.col("row")[text_col])}
+    if length_col in docs.columns:
+        new[length_col] = F.coalesce(F.length("clean").cast(types[length_col]), F.col("row")[length_col])
+    return clean.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def masked(text: Column, places: Column, mark: str = "[secret]") -> Column:

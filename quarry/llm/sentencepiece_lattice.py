@@ -198,7 +198,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(chunks)).cast("int")).repartition("chunk")
 
     pattern = pieces.word_pattern()
-    found = dealt.select("chunk", F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(pattern), F.lit(0))).alias("word"))
+    # reading doc_id here, too, keeps this side's columns those of the other, so that both read one exchange
+    some = F.when(F.col("doc_id").isNotNull() | (F.length("text") > 0), marked(F.col("text"))).otherwise(F.lit(""))
+    found = dealt.select("chunk", F.explode(F.regexp_extract_all(some, F.lit(pattern), F.lit(0))).alias("word"))
     long = F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)), F.lit(LONGEST)), lambda i: F.col("word").substr(i, F.lit(LONGEST)))
     words = found.distinct().select("chunk", F.explode(F.when(F.length("word") > LONGEST, long).otherwise(F.array("word"))).alias("word"))
     words = words.distinct()

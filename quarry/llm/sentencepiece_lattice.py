@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as relations.
 
-Texts are dealt to chunks of bounded size. A chunk's distinct words are exploded into their
-substrings of bounded length, equi-joined to the piece table, and the edges grouped by word again;
-a fold over each word's lattice gives its pieces. Words stay where their chunk is: the texts are
-shuffled once and nothing after that.
+A first pass over the texts notes the distinct words of each chunk of text. The corpus's distinct
+words are exploded into their substrings of bounded length, equi-joined to the piece table, and the
+edges grouped by word again; a fold over each word's lattice gives its pieces. The coded words go
+back to the chunks that have them as a written table, and a second pass replaces each chunk's words
+by their ids. Texts are never shuffled, and a task holds the words of one chunk at a time.
 
 Two folds, by the kind of model:
 
@@ -19,15 +20,18 @@ in front of a text that isn't empty.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.sizing import partitions_for
+from quarry.session import scratch_path, written
 
 MARK = "▁"
 #: A word of more characters is encoded in parts of so many (its text still round-trips).
@@ -180,59 +184,115 @@ def encode_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame
     return grouped.select(*keys, "word", fold(F.col("word"), F.col("edges"), pieces).alias("ids"))
 
 
-def marked(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.translate(text, " ", MARK))).otherwise(F.lit(""))
+def _chunks(batches, chunk_bytes: int):
+    """(chunk, doc_ids, texts) runs of a split's rows, in order; a chunk ends after ``chunk_bytes`` of text.
 
-
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 48 << 20) -> DataFrame:
+    Batches are (doc_id, text, split). Splits are read in the same order each time, so both passes see the same chunks.
+    """
+    n, size, held = 0, 0, []
+    for batch in batches:
+        ids, split = batch.column(0), None
+        texts = batch.column(1).to_pylist()
+        lo = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size > chunk_bytes:
+                held.append((ids.slice(lo, k + 1 - lo), texts[lo : k + 1]))
+                split = batch.column(2)[k].as_py()
+                yield f"{split}:{n}", held
+                n, size, held, lo = n + 1, 0, [], k + 1
+        if lo < len(texts):
+            held.append((ids.slice(lo), texts[lo:]))
+        if len(texts):
+            last = batch.column(2)[len(texts) - 1].as_py()
+    if held:
+        yield f"{last}:{n}", held
+
+
+def _words(text: str, cut: re.Pattern):
+    """Words of a text, mark in front; long ones in parts."""
+    if not text:
+        return []
+    words = cut.findall(MARK + text.replace(" ", MARK))
+    if len(text) > LONGEST and max(map(len, words)) > LONGEST:
+        return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
+
+
+def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, folders: int) -> None:
+    """Write folder, chunk, word, ids (null: spelt) for the distinct words of every chunk of ``rows`` (doc_id, text, split)."""
+    cut = re.compile(pieces.word_pattern(), re.DOTALL)
+
+    def distinct(batches):
+        for chunk, held in _chunks(batches, chunk_bytes):
+            seen: set = set()
+            for _, texts in held:
+                for text in texts:
+                    seen.update(_words(text, cut))
+            words = list(seen)
+            for i in range(0, len(words), 50_000):
+                part = words[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), pa.array(part, pa.string())], names=["chunk", "word"])
+
+    found = rows.mapInArrow(distinct, "chunk string, word string").repartition("word")
+    # counting chunks makes this side read the columns of the other, so that both share one exchange
+    words = found.groupBy("word").agg(F.count("chunk").alias("chunks"))
+    coded = encode_words(words, ["chunks"], pieces)
+    folder = F.pmod(F.crc32(F.col("chunk").cast("binary")), F.lit(folders)).cast("int")
+    dealt = found.join(coded, "word", "left").withColumn("folder", folder).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
+    dealt.write.partitionBy("folder").parquet(path)
+
+
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids, round_trip: one row per row of ``docs``, whole texts.
 
     round_trip: decoding gives the text back, its marks U+2581 read as spaces. Null and empty texts
     have no pieces. Rows without id or that repeat are encoded like any other. Other columns are
-    not read. An empty table gives an empty table.
+    not read. An empty table gives an empty table. ``docs`` that aren't read from files are written
+    first, as chunks are parts of file splits.
     """
     spark = docs.sparkSession
+    split = F.concat_ws("@", F.input_file_name(), F.input_file_block_start())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = partitions_for(size, 1, 1, chunk_bytes)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(chunks)).cast("int")).repartition("chunk")
-
-    pattern = pieces.word_pattern()
-    # reading doc_id here, too, keeps this side's columns those of the other, so that both read one exchange
-    some = F.when(F.col("doc_id").isNotNull() | (F.length("text") > 0), marked(F.col("text"))).otherwise(F.lit(""))
-    found = dealt.select("chunk", F.explode(F.regexp_extract_all(some, F.lit(pattern), F.lit(0))).alias("word"))
-    long = F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)), F.lit(LONGEST)), lambda i: F.col("word").substr(i, F.lit(LONGEST)))
-    words = found.distinct().select("chunk", F.explode(F.when(F.length("word") > LONGEST, long).otherwise(F.array("word"))).alias("word"))
-    words = words.distinct()
-    coded = encode_words(words, ["chunk"], pieces).select(F.col("chunk").alias("part"), "word", "ids")
-    decoder = _Decoder(pieces)
-    cut = re.compile(pattern, re.DOTALL)
-
-    def apply(texts: pa.Table, coded_words: pa.Table) -> pa.Table:
-        words = coded_words.column("word").to_pylist()
-        known = dict(zip(words, coded_words.column("ids").to_pylist()))
-        flat, chars, ends, good = array("i"), [], [0], []
-        for text in texts.column("text"):
-            text = text.as_py()
-            got: list = []
-            if text:
-                for word in cut.findall(MARK + text.replace(" ", MARK)):
-                    for part in (word,) if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]:
-                        one = known.get(part)
+    one = rows.select(F.input_file_name().alias("f")).limit(1).collect()
+    if one and not one[0]["f"]:
+        rows = written(rows, "texts")
+    rows = rows.select("doc_id", "text", split.alias("split"))
+    path = scratch_path(spark, "words")
+    folders = min(max(rows.rdd.getNumPartitions(), 1), 4096)
+    word_codes(rows, pieces, path, chunk_bytes, folders)
+    decoder, cut = _Decoder(pieces), re.compile(pieces.word_pattern(), re.DOTALL)
+
+    def apply(batches):
+        for chunk, held in _chunks(batches, chunk_bytes):
+            some = any(text for _, texts in held for text in texts)  # else there are no words and perhaps no folder
+            known = _codes(f"{path}/folder={zlib.crc32(chunk.encode()) % folders}", chunk) if some else {}
+            for ids, texts in held:
+                flat, chars, ends, good = array("i"), [], [0], []
+                for text in texts:
+                    got: list = []
+                    for word in _words(text, cut):
+                        one = known[word]
                         if one is None:
-                            one = known[part] = decoder.spelt(part)
+                            one = known[word] = decoder.spelt(word)
                         got += one
-            flat.extend(got)
-            chars.append(len(text))
-            ends.append(len(flat))
-            good.append(decoder.text(got) == text.replace(MARK, " "))
-        ends = np.array(ends, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32)))
-        cols = [pa.array(chars, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(good, pa.bool_())]
-        return pa.Table.from_arrays([texts.column("doc_id"), *cols], names=["doc_id", "n_chars", "n_pieces", "ids", "round_trip"])
-
-    return dealt.groupBy("chunk").cogroup(coded.groupBy("part")).applyInArrow(
-        apply, "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean")
+                    flat.extend(got)
+                    chars.append(len(text))
+                    ends.append(len(flat))
+                    good.append(decoder.text(got) == text.replace(MARK, " "))
+                ends = np.array(ends, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(chars, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(good, pa.bool_())],
+                                                 names=["doc_id", "n_chars", "n_pieces", "ids", "round_trip"])
+
+    return rows.mapInArrow(apply, "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean")
+
+
+def _codes(path: str, chunk: str) -> dict:
+    """word -> ids of one chunk, from the written table; files are sorted by chunk, so others' row groups are skipped."""
+    files, root = pafs.FileSystem.from_uri(path)
+    table = pads.dataset(root, filesystem=files, format="parquet").to_table(columns=["word", "ids"], filter=pads.field("chunk") == chunk)
+    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
 
 
 class _Decoder:

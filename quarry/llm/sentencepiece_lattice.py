@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +35,8 @@ from quarry.session import scratch_path, written
 MARK = "▁"
 #: A word of more characters is encoded in parts of so many (its text still round-trips).
 LONGEST = 512
+HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+MOST_HASHED_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -234,16 +235,21 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), pa.array(part, pa.string())], names=["chunk", "word"])
 
-    found = rows.mapInArrow(distinct, "chunk string, word string").repartition("word")
-    # counting chunks makes this side read the columns of the other, so that both share one exchange
-    words = found.groupBy("word").agg(F.count("chunk").alias("chunks"))
-    coded = encode_words(words, ["chunks"], pieces)
+    spark = rows.sparkSession
+    found = written(rows.mapInArrow(distinct, "chunk string, word string"), "chunk-words")
+    coded = encode_words(found.select("word").distinct(), [], pieces)
     folder = F.pmod(F.crc32(F.col("chunk").cast("binary")), F.lit(folders)).cast("int")
     dealt = found.join(coded, "word", "left").withColumn("folder", folder).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
-    dealt.write.partitionBy("folder").parquet(path)
+    # lattices of up to so many words of a task are gathered in a hash table; beyond that Spark sorts
+    was = spark.conf.get(HASHED)
+    spark.conf.set(HASHED, str(MOST_HASHED_WORDS))
+    try:
+        dealt.write.partitionBy("folder").parquet(path)
+    finally:
+        spark.conf.set(HASHED, was)
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids, round_trip: one row per row of ``docs``, whole texts.
 
     round_trip: decoding gives the text back, its marks U+2581 read as spaces. Null and empty texts
@@ -268,35 +274,34 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             some = any(text for _, texts in held for text in texts)  # else there are no words and perhaps no folder
             known = _codes(f"{path}/folder={zlib.crc32(chunk.encode()) % folders}", chunk) if some else {}
             for ids, texts in held:
-                flat, chars, ends, good = array("i"), [], [0], []
+                coded, chars, good = [], [], []
                 for text in texts:
-                    got: list = []
-                    for word in _words(text, cut):
-                        one = known[word]
-                        if one is None:
-                            one = known[word] = decoder.spelt(word)
-                        got += one
-                    flat.extend(got)
+                    got = b"".join([known.get(w) or decoder.spelt(w) for w in _words(text, cut)])
+                    coded.append(got)
                     chars.append(len(text))
-                    ends.append(len(flat))
-                    good.append(decoder.text(got) == text.replace(MARK, " "))
-                ends = np.array(ends, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32)))
+                    good.append(decoder.text(np.frombuffer(got, np.int32)) == text.replace(MARK, " "))
+                ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(chars, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(good, pa.bool_())],
                                                  names=["doc_id", "n_chars", "n_pieces", "ids", "round_trip"])
 
     return rows.mapInArrow(apply, "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean")
 
 
-def _codes(path: str, chunk: str) -> dict:
-    """word -> ids of one chunk, from the written table; files are sorted by chunk, so others' row groups are skipped."""
+def _codes(path: str, chunk: str) -> dict[str, bytes]:
+    """word -> 32-bit ids of one chunk, from the written table; files are sorted by chunk, so others' row groups are skipped."""
     files, root = pafs.FileSystem.from_uri(path)
     table = pads.dataset(root, filesystem=files, format="parquet").to_table(columns=["word", "ids"], filter=pads.field("chunk") == chunk)
-    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
+    out: dict = {}
+    for batch in table.to_batches():
+        ids = batch.column("ids")
+        raw, ends = np.asarray(ids.values, np.int32).tobytes(), (4 * np.asarray(ids.offsets, np.int64)).tolist()
+        out.update(zip(batch.column("word").to_pylist(), (raw[a:b] for a, b in zip(ends, ends[1:]))))
+    return out
 
 
 class _Decoder:
-    """Ids to text, a row at a time."""
+    """Rows of ids to text, and characters without pieces to ids."""
 
     def __init__(self, pieces: Pieces):
         self.base, self.unknown = pieces.byte_base, pieces.unknown
@@ -304,13 +309,12 @@ class _Decoder:
         if self.base is not None:
             self.piece |= {self.base + b: bytes([b]) for b in range(256)}
 
-    def spelt(self, word: str) -> list[int]:
-        if self.base is None:
-            return [self.unknown] * len(word)
-        return [self.base + b for b in word.encode()]
+    def spelt(self, word: str) -> bytes:
+        ids = [self.unknown] * len(word) if self.base is None else [self.base + b for b in word.encode()]
+        return np.array(ids, np.int32).tobytes()
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join([self.piece.get(i, b" \xe2\x81\x87 ") for i in ids]).decode("utf-8", "replace")[1:]
+    def text(self, ids: np.ndarray) -> str:
+        return b"".join([self.piece.get(i, b" \xe2\x81\x87 ") for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

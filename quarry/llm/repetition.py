@@ -98,6 +98,8 @@ def _repeated_windows(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     w = T.windows(h, k)
     at = np.flatnonzero(doc[: len(w)] == doc[k - 1 :])
+    if not len(at):
+        return np.zeros(n, bool)
     key = T.mix(w[at] + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     by = np.argsort(key, kind="stable")
     same = key[by][1:] == key[by][:-1]

@@ -144,6 +144,8 @@ class WarcReader(DataSourceReader):
             at = block + length + 4
 
     def read(self, partition):
+        if partition is None:  # there are no files
+            return
         files, _ = pafs.FileSystem.from_uri(self.path)
         schema = pa.schema([*((c, pa.string()) for c in HEADERS), ("content_length", pa.int64()), ("payload", pa.binary()), ("payload_sha1", pa.string())])
         with files.open_input_file(partition.path) as stream:

@@ -41,7 +41,7 @@ def strip_sql(col: str) -> str:
 DOCS = "docs AS (SELECT doc_id, text, source, lang AS label FROM documents)"
 QUERIES = f"queries AS (SELECT item_id AS query_id, text FROM benchmark WHERE {not_blank('text')})"
 USER_TURNS = (
-    "queries AS (SELECT (conv_id * 1000 + turn)::BIGINT AS query_id, text FROM conversations "
+    "queries AS (SELECT (conv_id * 2147483648 + turn)::BIGINT AS query_id, text FROM conversations "
     f"WHERE role = 'user' AND {not_blank('text')})"
 )
 
@@ -193,17 +193,17 @@ SELECT q.query_id, t.doc_id, t.score, t.rank, t.doc_id IS NULL AS no_result FROM
 def q_duplicate_report() -> str:
     return """SELECT doc_id, first_doc_id, group_size FROM (
   SELECT doc_id, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS group_size
-  FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))) WHERE group_size > 1"""
+  FROM documents WINDOW w AS (PARTITION BY text)) WHERE group_size > 1"""
 
 
 def q_dedup_exact() -> str:
     return """SELECT doc_id, lang, source, n_chars FROM documents
-QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1"""
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
 
 
 def q_dedup_stats() -> str:
-    return """WITH g AS (SELECT doc_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS n,
-                       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS rn FROM documents)
+    return """WITH g AS (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n,
+                       row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents)
 SELECT count(*)::BIGINT AS n_before, count(*) FILTER (WHERE n > 1)::BIGINT AS n_duplicate_rows,
        count(*) FILTER (WHERE rn = 1)::BIGINT AS n_after FROM g"""
 
@@ -245,13 +245,21 @@ SELECT seq, key, matched, patched,
 
 
 def q_append_if_absent() -> str:
-    vals = ", ".join(f"({i}, {lit(m)}, {lit(src)}, {lit(lab)})" for i, (m, _t, src, lab) in enumerate(config.APPEND_ROWS))
-    return f"""WITH new_rows(pos, marker, source, label) AS (VALUES {vals}),
-absent AS (SELECT * FROM new_rows n WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, n.marker))),
+    vals = ", ".join(f"({i}, {lit(m)}, {lit(t)}, {lit(src)}, {lit(lab)})" for i, (m, t, src, lab) in enumerate(config.APPEND_ROWS))
+    return f"""WITH RECURSIVE new_rows(pos, marker, text, source, label) AS (VALUES {vals}),
+fresh AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM new_rows n
+          WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, n.marker))),
+steps AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS taken, []::INT[] AS places
+  UNION ALL
+  SELECT f.k, CASE WHEN len(list_filter(s.taken, lambda t: contains(t, f.marker))) = 0 THEN list_append(s.taken, f.text) ELSE s.taken END,
+         CASE WHEN len(list_filter(s.taken, lambda t: contains(t, f.marker))) = 0 THEN list_append(s.places, f.pos) ELSE s.places END
+  FROM steps s JOIN fresh f ON f.k = s.k + 1),
+final AS (SELECT places FROM steps ORDER BY k DESC LIMIT 1),
+absent AS (SELECT fresh.* FROM fresh, final WHERE list_contains(final.places, fresh.pos)),
 mx AS (SELECT coalesce(max(doc_id), -1) AS m FROM documents)
-SELECT doc_id, source, lang AS label FROM documents
+SELECT doc_id, text, source, lang AS label FROM documents
 UNION ALL
-SELECT (mx.m + row_number() OVER (ORDER BY pos))::BIGINT AS doc_id, source, label FROM absent, mx"""
+SELECT (mx.m + row_number() OVER (ORDER BY pos))::BIGINT AS doc_id, text, source, label FROM absent, mx"""
 
 
 EV = """ev AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

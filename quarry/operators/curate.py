@@ -5,10 +5,8 @@ length) so the first shuffle moves 40-byte keys, not texts; only rows whose
 hash collides with another row are re-checked by full text equality, so the
 result is exact.
 
-Patches are a fold over a small, ordered edit list (configuration, read to
-the driver): each edit becomes one ``when`` over the text produced by the
-previous edit, so all edits run in one pass and a later edit sees earlier
-changes. An edit is skipped for rows that already contain its sentence, so a
+Patches are a fold over an ordered edit list that stands as one array beside
+each row: all edits run in one pass and a later edit sees earlier changes. An edit is skipped for rows that already contain its sentence, so a
 second run changes nothing.
 """
 
@@ -26,7 +24,7 @@ from quarry.plans.sizing import bounded_broadcast
 
 def _key_cols(text_col: str = "text"):
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return F.sha2(t, 256).alias("_h"), F.length(t).alias("_len")
+    return F.sha2(t, 256).alias("_h"), F.when(F.col(text_col).isNull(), -1).otherwise(F.length(t)).alias("_len")
 
 
 def duplicate_groups(docs: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -38,7 +36,7 @@ def duplicate_groups(docs: DataFrame, max_broadcast_rows: int = 2_000_000) -> Da
        the first doc id; AQE splits a hot group across tasks);
     3. rows that fail the comparison (a hash collision, never expected) are
        grouped by full text equality instead, so the result is exact.
-    NULL text is treated as ''.
+    NULL texts are equal to each other and not to ''.
     """
     h, ln = _key_cols()
     keyed = docs.select("doc_id", h, ln)
@@ -77,64 +75,53 @@ class Edit:
     sentence: str
 
 
-def _edits(edits: Sequence[Edit] | DataFrame) -> list[Edit]:
+_EDITS = "array<struct<seq:bigint,key:string,sentence:string>>"
+
+
+def _edit_list(spark, edits: Sequence[Edit] | DataFrame) -> DataFrame:
+    """The edits in order as one row with one array."""
     if isinstance(edits, DataFrame):
-        rows = edits.orderBy("seq").limit(10_001).collect()   # configuration list
-        if len(rows) > 10_000:
-            raise ValueError("edit list too long for a fold; apply it in chunks")
-        return [Edit(int(r["seq"]), r["key"], r["sentence"]) for r in rows]
-    return sorted(edits, key=lambda e: e.seq)
-
-
-def patch_fold(docs: DataFrame, edits: Sequence[Edit] | DataFrame):
-    """Return (frame with text_0 .. text_n and per-edit flags, edit list)."""
-    es = _edits(edits)
-    cur = F.col("text").cast("string")
-    cols = [F.col("doc_id"), cur.alias("text_0")]
-    out = docs.select(*cols)
-    for i, e in enumerate(es, start=1):
-        prev = F.col(f"text_{i - 1}")
-        hit = F.coalesce(prev.contains(F.lit(e.key)), F.lit(False))
-        done = F.coalesce(prev.contains(F.lit(e.sentence)), F.lit(False))
-        todo = hit & ~done
-        out = out.withColumn(f"m_{i}", hit).withColumn(f"p_{i}", todo).withColumn(
-            f"text_{i}", F.when(todo, F.concat(T.rstrip(prev), F.lit(e.sentence))).otherwise(prev)
-        )
-    return out, es
+        parts = F.struct(F.col("seq").cast("long").alias("seq"), F.col("key").cast("string").alias("key"), F.col("sentence").cast("string").alias("sentence"))
+        return edits.agg(F.sort_array(F.collect_list(parts)).alias("edits"))
+    return spark.createDataFrame([([(e.seq, e.key, e.sentence) for e in sorted(edits, key=lambda e: e.seq)],)], f"edits {_EDITS}")
+
+
+def patch_fold(docs: DataFrame, edits: Sequence[Edit] | DataFrame) -> DataFrame:
+    """(doc_id, text, hits): the text after all edits and, per edit whose key the text had at its turn, (seq, patched).
+
+    One fold over the edit list per row, so the plan has the same size for any number of edits.
+    """
+    none = F.array().cast("array<struct<seq:bigint,patched:boolean>>")
+
+    def step(acc, e):
+        hit = F.coalesce(acc["text"].contains(e["key"]), F.lit(False))
+        todo = hit & ~F.coalesce(acc["text"].contains(e["sentence"]), F.lit(False))
+        return F.struct(F.when(todo, F.concat(T.rstrip(acc["text"]), e["sentence"])).otherwise(acc["text"]).alias("text"),
+                        F.when(hit, F.concat(acc["hits"], F.array(F.struct(e["seq"].alias("seq"), todo.alias("patched"))))).otherwise(acc["hits"]).alias("hits"))
+
+    start = F.struct(F.col("text").cast("string").alias("text"), none.alias("hits"))
+    listed = docs.select("doc_id", "text").crossJoin(F.broadcast(_edit_list(docs.sparkSession, edits)))   # one row: the configuration
+    return listed.select("doc_id", F.aggregate("edits", start, step).alias("r")).select("doc_id", "r.text", "r.hits")
 
 
 def patch_rows(docs: DataFrame, edits: Sequence[Edit] | DataFrame) -> DataFrame:
     """(doc_id, text, n_edits) for the rows whose text changed."""
-    folded, es = patch_fold(docs, edits)
-    n = len(es)
-    n_applied = sum((F.col(f"p_{i}").cast("int") for i in range(1, n + 1)), F.lit(0)) if n else F.lit(0)
-    return folded.filter(n_applied > 0).select(
-        "doc_id", F.col(f"text_{n}").alias("text"), n_applied.cast("long").alias("n_edits"))
+    n = F.size(F.filter("hits", lambda h: h["patched"])).cast("long")
+    return patch_fold(docs, edits).select("doc_id", "text", n.alias("n_edits")).filter("n_edits > 0")
 
 
 def patched_corpus(docs: DataFrame, edits: Sequence[Edit] | DataFrame) -> DataFrame:
-    folded, es = patch_fold(docs, edits)
-    return docs.drop("text").join(folded.select("doc_id", F.col(f"text_{len(es)}").alias("text")), "doc_id")
+    return docs.drop("text").join(patch_fold(docs, edits).select("doc_id", "text"), "doc_id")
 
 
 def patch_report(docs: DataFrame, edits: Sequence[Edit] | DataFrame) -> DataFrame:
     """(seq, key, matched, patched, status) -- status missing / ok / multi (several rows matched)."""
-    folded, es = patch_fold(docs, edits)
-    spark = docs.sparkSession
-    if not es:
-        return spark.createDataFrame([], "seq long, key string, matched long, patched long, status string")
-    aggs = []
-    for i in range(1, len(es) + 1):
-        aggs += [F.count_if(F.col(f"m_{i}")).alias(f"m_{i}"), F.count_if(F.col(f"p_{i}")).alias(f"p_{i}")]
-    wide = folded.agg(*aggs)   # one row
-    meta = spark.createDataFrame([(e.seq, e.key, i) for i, e in enumerate(es, start=1)], "seq long, key string, i int")
-    stacked = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(f"m_{i}").alias("matched"), F.col(f"p_{i}").alias("patched"))
-        for i in range(1, len(es) + 1)])).alias("s")).select("s.*")
-    rep = meta.join(F.broadcast(stacked), "i")
+    listed = _edit_list(docs.sparkSession, edits).select(F.explode("edits").alias("e")).select("e.seq", "e.key")
+    hits = patch_fold(docs, edits).select(F.explode("hits").alias("h")).select("h.*")
+    counted = hits.groupBy("seq").agg(F.count(F.lit(1)).alias("matched"), F.count_if("patched").alias("patched"))
+    rep = listed.join(counted, "seq", "left").fillna(0, subset=["matched", "patched"])
     status = F.when(F.col("matched") == 0, "missing").when(F.col("matched") > 1, "multi").otherwise("ok")
-    return rep.select("seq", "key", F.col("matched").cast("long"), F.col("patched").cast("long"),
-                      status.alias("status"))
+    return rep.select("seq", "key", F.col("matched").cast("long").alias("matched"), F.col("patched").cast("long").alias("patched"), status.alias("status"))
 
 
 @dataclass(frozen=True)
@@ -150,7 +137,8 @@ def append_if_absent(docs: DataFrame, rows: Sequence[NewRow], max_broadcast_rows
 
     New doc ids continue after the current maximum in list order. The
     existence test is one pass: every document is checked against the (few)
-    markers at once and the flags are OR-aggregated.
+    markers at once. Rows are then added one after the other, so a marker in an
+    added row's text keeps later rows out.
     """
     spark = docs.sparkSession
     if not rows:
@@ -161,9 +149,12 @@ def append_if_absent(docs: DataFrame, rows: Sequence[NewRow], max_broadcast_rows
     )
     found = docs.select("text").crossJoin(F.broadcast(new.select("pos", "marker"))).filter(
         F.col("text").contains(F.col("marker"))).select("pos").distinct()
-    absent = new.join(F.broadcast(found), "pos", "left_anti")
+    have = {r["pos"] for r in found.collect()}   # at most one row per new row
+    taken: list[tuple] = []
+    for pos, r in enumerate(rows):   # one after the other: an added row counts for those after it
+        if pos not in have and not any(r.marker in (t[1] or "") for t in taken):
+            taken.append((len(taken) + 1, r.text, r.source, r.label))
     base = docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("_max"))
-    w = Window.orderBy("pos")   # over the few absent rows only
-    added = absent.crossJoin(F.broadcast(base)).select(
-        (F.col("_max") + F.row_number().over(w)).cast("long").alias("doc_id"), "text", "source", "label")
+    added = spark.createDataFrame(taken, "n long, text string, source string, label string").crossJoin(F.broadcast(base)).select(
+        (F.col("_max") + F.col("n")).alias("doc_id"), "text", "source", "label")
     return docs.unionByName(added, allowMissingColumns=True)

@@ -1,6 +1,7 @@
 """Planted-passage relevance: (item_id, doc_id) where the document text contains the item text.
 
-One pass over the corpus: the (few, bounded) passages are compiled into an
+One pass over the corpus per block of passages (one block up to MAX_PATTERNS
+passages and MAX_PATTERN_CHARS characters): a block is compiled into an
 Aho-Corasick automaton shipped to every task, and each document is scanned
 once, whatever the number of passages -- O(total characters), not
 O(passages x characters). Without pyahocorasick the fallback is a broadcast
@@ -9,6 +10,7 @@ O(passages x characters). Without pyahocorasick the fallback is a broadcast
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,28 +28,32 @@ except ImportError:  # pragma: no cover
     ahocorasick = None
 
 
-def _collect_patterns(passages: DataFrame) -> list[tuple[int, str]]:
+def _blocks(passages: DataFrame) -> list[DataFrame]:
+    """The passages in blocks of bounded size, by a hash of their id; one block unless they are many."""
     pats = passages.filter(~T.is_blank("text")).select("item_id", "text")
     stats = pats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).collect()[0]
-    if stats["n"] > MAX_PATTERNS or stats["c"] > MAX_PATTERN_CHARS:
-        raise ValueError("too many passages for one automaton; split the passage table")
-    return [(int(r["item_id"]), r["text"]) for r in pats.collect()]   # bounded above
+    n = max(1, -(-stats["n"] // MAX_PATTERNS), -(-stats["c"] // MAX_PATTERN_CHARS))
+    if n == 1:
+        return [pats]
+    n = 2 * n   # room for blocks that the hash fills unevenly
+    return [pats.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
 def contains_relevance(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    pats = passages.filter(~T.is_blank("text")).select("item_id", F.col("text").alias("_p"))
-    st = pats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_p")), F.lit(0)).alias("c")).collect()[0]
-    if st["n"] > MAX_PATTERNS or st["c"] > MAX_PATTERN_CHARS:   # the broadcast side is checked
-        raise ValueError("too many passages to broadcast; split the passage table")
-    return docs.select("doc_id", "text").crossJoin(F.broadcast(pats)).filter(
-        F.col("text").contains(F.col("_p"))).select("item_id", "doc_id")
+    found = [docs.select("doc_id", "text").crossJoin(F.broadcast(block.withColumnRenamed("text", "_p"))).filter(
+        F.col("text").contains(F.col("_p"))).select("item_id", "doc_id") for block in _blocks(passages)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def planted_relevance(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, doc_id) pairs, distinct."""
     if ahocorasick is None:
         return contains_relevance(docs, passages)
-    patterns = _collect_patterns(passages)
+    return functools.reduce(DataFrame.unionByName, [_scan_block(docs, block) for block in _blocks(passages)])
+
+
+def _scan_block(docs: DataFrame, block: DataFrame) -> DataFrame:
+    patterns = [(int(r["item_id"]), r["text"]) for r in block.collect()]   # bounded by the block
     if not patterns:
         return docs.sparkSession.createDataFrame([], "item_id long, doc_id long")
     bc = docs.sparkSession.sparkContext.broadcast(patterns)

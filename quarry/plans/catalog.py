@@ -40,19 +40,9 @@ def _index(spark: SparkSession, sf_dir: str):
     return index_for(spark, sf_dir)
 
 
-_MEMO: dict = {}
-
-
-def _memo(key, build):
-    """Reuse a written stage result within the process (it is a table in the checkpoint folder)."""
-    if key not in _MEMO:
-        _MEMO[key] = H.materialize(build())
-    return _MEMO[key]
-
-
 def _rrf(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     idx = _index(spark, sf_dir)
-    return _memo(("rrf", idx.path, k), lambda: H.rrf_search(idx, C.read_benchmark_queries(spark, sf_dir), CFG, k=k))
+    return H.materialize(H.rrf_search(idx, C.read_benchmark_queries(spark, sf_dir), CFG, k=k))
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +118,8 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = C.read_table(spark, sf_dir, "documents")
     groups = raw.select("lang").distinct()
     groups = groups.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).cast("long").alias("cluster"))
-    df = raw.join(bounded_broadcast(groups, CFG.broadcast_max_rows), "lang").withColumn(
+    named = groups.select(F.col("lang").alias("_lang"), "cluster")   # a null language is a group too
+    df = raw.join(bounded_broadcast(named, CFG.broadcast_max_rows), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").withColumn(
         "clean_text", T.clean_text("text"))
     return R.preferred_order(df, ["cluster", "text", "clean_text", "source", "label"])
 
@@ -185,7 +176,7 @@ def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append rows whose marker no document contains; new ids after the max."""
     rows = [CU.NewRow(*r) for r in config.APPEND_ROWS]
     out = CU.append_if_absent(C.read_corpus(spark, sf_dir), rows)
-    return out.select("doc_id", "source", "label")
+    return out.select("doc_id", "text", "source", "label")
 
 
 # ---------------------------------------------------------------------------
@@ -316,7 +307,7 @@ def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = _index(spark, sf_dir)
-    return _memo(("rel", idx.path), lambda: RL.planted_relevance(
+    return H.materialize(RL.planted_relevance(
         idx.docs.select("doc_id", "text"), C.read_table(spark, sf_dir, "benchmark").select("item_id", "text")).distinct())
 
 
@@ -341,8 +332,8 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = _index(spark, sf_dir)
     qs = C.read_benchmark_queries(spark, sf_dir)
     stages = {
-        "tfidf": _memo(("tfidf", idx.path, 10), lambda: tfidf_search(idx, qs, CFG, k=10)),
-        "dense": _memo(("dense", idx.path, 10), lambda: H.dense_search(idx, qs, CFG, k=10)),
+        "tfidf": H.materialize(tfidf_search(idx, qs, CFG, k=10)),
+        "dense": H.materialize(H.dense_search(idx, qs, CFG, k=10)),
         "hybrid_rrf": _rrf(spark, sf_dir, 10),
     }
     return EV.recall_table(stages, _relevance(spark, sf_dir), qs, (1, 3, 10))
@@ -389,7 +380,7 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def to_queries(conv: DataFrame) -> DataFrame:
         return conv.filter(F.col("role") == "user").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), F.col("text").cast("string"))
+            C.turn_id("conv_id", "turn").alias("query_id"), F.col("text").cast("string"))
 
     def search(batch: DataFrame) -> DataFrame:
         return H.two_stage_search(idx, batch, CFG, k=3, candidate_k=20)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,10 @@ from quarry.config import IndexConfig
 from quarry.functions import text as T
 from quarry.functions import vector as V
 from quarry.plans.sizing import bounded_broadcast, dense_ordinal, partitions_for, spread
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, files_fingerprint
 from quarry.sources import index_io
-from quarry.sources.corpus import read_corpus
+from quarry.sources.corpus import read_corpus, table_path
 
-_BUILT: dict[str, str] = {}
 INDEX_FORMAT = 5   # bump when the layout or any formula changes
 
 
@@ -110,15 +110,12 @@ def hash_vectors(terms: DataFrame, docs: DataFrame, dims: int) -> DataFrame:
 
 def index_for(spark: SparkSession, sf_dir: str, cfg: IndexConfig = IndexConfig(), docs: DataFrame | None = None,
               tag: str = "documents") -> index_io.Index:
-    """Build (once per process and folder) the index of a table folder's documents."""
-    key = json.dumps([INDEX_FORMAT, sf_dir, tag, cfg.min_df, cfg.max_df, cfg.remove_stopwords, cfg.hash_dims,
+    """The index of a table folder's documents, built once for the files as they are; other ``docs`` are indexed anew."""
+    source = files_fingerprint(spark, table_path(sf_dir, "documents")) if docs is None else uuid.uuid4().hex
+    key = json.dumps([INDEX_FORMAT, sf_dir, source, tag, cfg.min_df, cfg.max_df, cfg.remove_stopwords, cfg.hash_dims,
                       list(cfg.stopwords), list(cfg.dictionary)], ensure_ascii=False)
     digest = hashlib.sha1(key.encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark)}/index-{digest}"
-    if _BUILT.get(key) == path or index_io.index_exists(spark, path):
-        _BUILT[key] = path
+    if index_io.index_exists(spark, path):
         return index_io.load_index(spark, path)
-    src = docs if docs is not None else read_corpus(spark, sf_dir)
-    idx = build_index(src, path, cfg)
-    _BUILT[key] = path
-    return idx
+    return build_index(docs if docs is not None else read_corpus(spark, sf_dir), path, cfg)

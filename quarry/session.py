@@ -75,3 +75,23 @@ def written(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether a file or folder is there, asked of the path's own file system."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def files_fingerprint(spark, path: str) -> str:
+    """Names, sizes and times of the files under ``path``: changes when the table does."""
+    import hashlib
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, found = fs.listFiles(p, True), []
+    while seen.hasNext():
+        f = seen.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()

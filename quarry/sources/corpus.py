@@ -67,11 +67,16 @@ def read_benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries(read_table(spark, sf_dir, "benchmark"))
 
 
+def turn_id(conv: str, turn: str):
+    """One id for a conversation's turn: unique for turns of 0 to 2^31 - 1 and conversations below 2^32."""
+    return F.shiftleft(F.col(conv).cast("long"), 31) + F.col(turn).cast("long")
+
+
 def read_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of the conversations as a query table; query_id = conv_id * 1000 + turn."""
+    """User turns of the conversations as a query table; see ``turn_id``."""
     conv = read_table(spark, sf_dir, "conversations")
     return conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"),
+        turn_id("conv_id", "turn").alias("query_id"),
         F.col("text").cast("string").alias("text"),
     )
 

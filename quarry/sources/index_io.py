@@ -14,11 +14,11 @@ Layout under one folder (a new folder per build; never overwritten in place):
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import path_exists
 from quarry.config import IndexConfig
 
 TABLES = ("docs", "doc_ord", "terms", "vocab", "postings", "doc_vec")
@@ -45,20 +45,13 @@ class Index:
         return self.docs.sparkSession.createDataFrame([(self.n_docs,)], "n long")
 
 
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path if "://" not in path else None
-
-
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
     body = json.dumps(manifest, ensure_ascii=False, indent=1)
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    local = _local(path)
-    if local is not None and not os.path.exists(f"{local}/_manifest"):
+    if not path_exists(spark, f"{path}/_manifest"):
         raise IndexNotFoundError(f"no index at {path}; build it first (quarry.plans.index_build.build_index)")
     try:
         rows = spark.read.text(f"{path}/_manifest").collect()   # one small file
@@ -83,8 +76,7 @@ def load_index(spark: SparkSession, path: str) -> Index:
     )
     tables = {}
     for t in TABLES:
-        local = _local(path)
-        if local is not None and not os.path.exists(f"{local}/{t}"):
+        if not path_exists(spark, f"{path}/{t}"):
             raise IndexNotFoundError(f"index table {t} missing under {path}")
         tables[t] = spark.read.parquet(f"{path}/{t}")
     return Index(path=path, n_docs=man["n_docs"], vocab_size=man["vocab_size"], cfg=cfg, **tables)

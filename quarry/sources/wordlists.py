@@ -10,15 +10,13 @@ regex / stop-word filter.
 
 from __future__ import annotations
 
-import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
-
-MAX_WORDLIST_LINES = 100_000
+from quarry.session import path_exists
 
 
 def wordlist_frame(spark: SparkSession, path: str) -> DataFrame:
@@ -28,13 +26,10 @@ def wordlist_frame(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _load(spark: SparkSession, path: str, what: str) -> list[str] | None:
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         warnings.warn(f"{what} not found: {path}", stacklevel=3)
         return None
-    rows = wordlist_frame(spark, path).limit(MAX_WORDLIST_LINES + 1).collect()
-    if len(rows) > MAX_WORDLIST_LINES:
-        raise ValueError(f"{what} has more than {MAX_WORDLIST_LINES} words; use the Aho-Corasick segmenter")
-    return sorted(r.word for r in rows)
+    return sorted(r.word for r in wordlist_frame(spark, path).collect())   # configuration: literals of the regex
 
 
 def load_stopwords(spark: SparkSession, path: str) -> list[str]:

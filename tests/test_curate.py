@@ -42,3 +42,23 @@ def test_append_if_absent_idempotent(spark):
     added = once.filter(F.col("doc_id") > 7).collect()
     assert [(r.doc_id, r.text) for r in added] == [(8, "brand new passage")]
     assert CU.append_if_absent(once, rows).count() == once.count()
+
+
+def test_many_edits_plan_and_run(spark):
+    df = spark.createDataFrame(DOCS, SCHEMA)
+    edits = [CU.Edit(i, "key one", f" S{i}.") for i in range(200)]
+    (row,) = [r for r in CU.patch_rows(df, edits).collect() if r.doc_id == 2]
+    assert row.n_edits == 200 and row.text == "gamma key one" + "".join(f" S{i}." for i in range(200))
+    table = spark.createDataFrame([(e.seq, e.key, e.sentence) for e in edits], "seq long, key string, sentence string")
+    assert {(r.matched, r.patched) for r in CU.patch_report(df, table).collect()} == {(2, 2)}
+
+
+def test_null_and_empty_texts_are_apart(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.first_doc_id for r in CU.duplicate_groups(df).collect()} == {1: 1, 3: 1, 2: 2, 4: 2}
+
+
+def test_append_sees_rows_added_before(spark):
+    df = spark.createDataFrame(DOCS, SCHEMA)
+    twice = [CU.NewRow("brand new", "brand new passage", "c", "x"), CU.NewRow("brand new", "another brand new one", "c", "x")]
+    assert CU.append_if_absent(df, twice).count() == len(DOCS) + 1

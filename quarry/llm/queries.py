@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import licenses, mixing, near_dedup, order_minhash, quality, repetition, secrets, toxicity, warc
 from quarry.llm import sentencepiece_lattice as lattice
+from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 from quarry.sources.corpus import read_table
 
 
@@ -91,4 +92,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}

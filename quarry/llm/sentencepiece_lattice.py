@@ -19,8 +19,8 @@ in front of a text that isn't empty.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,6 +185,11 @@ def encode_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame
     return grouped.select(*keys, "word", fold(F.col("word"), F.col("edges"), pieces).alias("ids"))
 
 
+def _number(chunk: str) -> int:
+    """A chunk's name as a long; chunks that met would share their words."""
+    return int.from_bytes(hashlib.blake2b(chunk.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def _chunks(batches, chunk_bytes: int):
     """(chunk, doc_ids, texts) runs of a split's rows, in order; a chunk ends after ``chunk_bytes`` of text.
 
@@ -200,14 +205,14 @@ def _chunks(batches, chunk_bytes: int):
             if size > chunk_bytes:
                 held.append((ids.slice(lo, k + 1 - lo), texts[lo : k + 1]))
                 split = batch.column(2)[k].as_py()
-                yield f"{split}:{n}", held
+                yield _number(f"{split}:{n}"), held
                 n, size, held, lo = n + 1, 0, [], k + 1
         if lo < len(texts):
             held.append((ids.slice(lo), texts[lo:]))
         if len(texts):
             last = batch.column(2)[len(texts) - 1].as_py()
     if held:
-        yield f"{last}:{n}", held
+        yield _number(f"{last}:{n}"), held
 
 
 def _words(text: str, cut: re.Pattern):
@@ -233,18 +238,21 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
             words = list(seen)
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), pa.array(part, pa.string())], names=["chunk", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.string())], names=["chunk", "word"])
 
     spark = rows.sparkSession
-    found = written(rows.mapInArrow(distinct, "chunk string, word string"), "chunk-words")
-    coded = encode_words(found.select("word").distinct(), [], pieces)
-    folder = F.pmod(F.crc32(F.col("chunk").cast("binary")), F.lit(folders)).cast("int")
+    found = written(rows.mapInArrow(distinct, "chunk long, word string"), "chunk-words")
+    found = found.repartition("word")
+    # counting chunks makes this side read the columns of the other, so that both share one exchange
+    words = found.groupBy("word").agg(F.count("chunk").alias("n")).filter("n > 0").select("word")
+    coded = encode_words(words, [], pieces)
+    folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
     dealt = found.join(coded, "word", "left").withColumn("folder", folder).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
     # lattices of up to so many words of a task are gathered in a hash table; beyond that Spark sorts
     was = spark.conf.get(HASHED)
     spark.conf.set(HASHED, str(MOST_HASHED_WORDS))
     try:
-        dealt.write.partitionBy("folder").parquet(path)
+        dealt.write.partitionBy("folder").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(HASHED, was)
 
@@ -272,7 +280,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def apply(batches):
         for chunk, held in _chunks(batches, chunk_bytes):
             some = any(text for _, texts in held for text in texts)  # else there are no words and perhaps no folder
-            known = _codes(f"{path}/folder={zlib.crc32(chunk.encode()) % folders}", chunk) if some else {}
+            known = _codes(f"{path}/folder={chunk % folders}", chunk) if some else {}
             for ids, texts in held:
                 coded, chars, good = [], [], []
                 for text in texts:
@@ -288,7 +296,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(apply, "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean")
 
 
-def _codes(path: str, chunk: str) -> dict[str, bytes]:
+def _codes(path: str, chunk: int) -> dict[str, bytes]:
     """word -> 32-bit ids of one chunk, from the written table; files are sorted by chunk, so others' row groups are skipped."""
     files, root = pafs.FileSystem.from_uri(path)
     table = pads.dataset(root, filesystem=files, format="parquet").to_table(columns=["word", "ids"], filter=pads.field("chunk") == chunk)

@@ -242,8 +242,8 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
 
     spark = rows.sparkSession
     found = written(rows.mapInArrow(distinct, "chunk long, word string"), "chunk-words")
-    found = found.repartition("word")
-    # counting chunks makes this side read the columns of the other, so that both share one exchange
+    found = found.filter("word is not null").repartition("word")
+    # counting chunks makes this side read the columns of the other, so that both share one exchange (as does the filter)
     words = found.groupBy("word").agg(F.count("chunk").alias("n")).filter("n > 0").select("word")
     coded = encode_words(words, [], pieces)
     folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
@@ -257,7 +257,7 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
         spark.conf.set(HASHED, was)
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 24_000_000) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids, round_trip: one row per row of ``docs``, whole texts.
 
     round_trip: decoding gives the text back, its marks U+2581 read as spaces. Null and empty texts

@@ -257,7 +257,7 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
         spark.conf.set(HASHED, was)
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids, round_trip: one row per row of ``docs``, whole texts.
 
     round_trip: decoding gives the text back, its marks U+2581 read as spaces. Null and empty texts

@@ -35,8 +35,7 @@ from quarry.session import scratch_path, written
 MARK = "▁"
 #: A word of more characters is encoded in parts of so many (its text still round-trips).
 LONGEST = 512
-HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-MOST_HASHED_WORDS = 200_000
+HASHED = "spark.sql.execution.useObjectHashAggregateExec"
 
 
 @dataclass(frozen=True)
@@ -235,22 +234,23 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
             for _, texts in held:
                 for text in texts:
                     seen.update(_words(text, cut))
-            words = list(seen)
+            words = sorted(seen)  # neighbours share beginnings: a smaller table
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.string())], names=["chunk", "word"])
 
     spark = rows.sparkSession
-    found = written(rows.mapInArrow(distinct, "chunk long, word string"), "chunk-words")
-    found = found.filter("word is not null").repartition("word")
+    spots = scratch_path(spark, "chunk-words")
+    rows.mapInArrow(distinct, "chunk long, word string").write.option("compression", "zstd").parquet(spots)
+    found = spark.read.parquet(spots).filter("word is not null").repartition("word")
     # counting chunks makes this side read the columns of the other, so that both share one exchange (as does the filter)
     words = found.groupBy("word").agg(F.count("chunk").alias("n")).filter("n > 0").select("word")
     coded = encode_words(words, [], pieces)
     folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
     dealt = found.join(coded, "word", "left").withColumn("folder", folder).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
-    # lattices of up to so many words of a task are gathered in a hash table; beyond that Spark sorts
+    # edges are sorted by word, in pages that can spill: cheaper here than a hash table of lists on the heap
     was = spark.conf.get(HASHED)
-    spark.conf.set(HASHED, str(MOST_HASHED_WORDS))
+    spark.conf.set(HASHED, "false")
     try:
         dealt.write.partitionBy("folder").option("compression", "zstd").parquet(path)
     finally:

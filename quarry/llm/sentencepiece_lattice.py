@@ -35,7 +35,8 @@ from quarry.session import scratch_path, written
 MARK = "▁"
 #: A word of more characters is encoded in parts of so many (its text still round-trips).
 LONGEST = 512
-HASHED = "spark.sql.execution.useObjectHashAggregateExec"
+HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+MOST_HASHED_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -234,7 +235,7 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
             for _, texts in held:
                 for text in texts:
                     seen.update(_words(text, cut))
-            words = sorted(seen)  # neighbours share beginnings: a smaller table
+            words = list(seen)
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.string())], names=["chunk", "word"])
@@ -248,9 +249,9 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
     coded = encode_words(words, [], pieces)
     folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
     dealt = found.join(coded, "word", "left").withColumn("folder", folder).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
-    # edges are sorted by word, in pages that can spill: cheaper here than a hash table of lists on the heap
+    # lattices of up to so many words of a task are gathered in a hash table; beyond that Spark sorts
     was = spark.conf.get(HASHED)
-    spark.conf.set(HASHED, "false")
+    spark.conf.set(HASHED, str(MOST_HASHED_WORDS))
     try:
         dealt.write.partitionBy("folder").option("compression", "zstd").parquet(path)
     finally:

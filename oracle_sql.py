@@ -196,6 +196,12 @@ def q_duplicate_report() -> str:
   FROM documents WINDOW w AS (PARTITION BY text)) WHERE group_size > 1"""
 
 
+def q_duplicate_listing() -> str:
+    return """SELECT text, doc_id, label, first_doc_id, group_size FROM (
+  SELECT text, doc_id, lang AS label, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS group_size
+  FROM documents WINDOW w AS (PARTITION BY text)) WHERE group_size > 1 ORDER BY text NULLS LAST, doc_id"""
+
+
 def q_dedup_exact() -> str:
     return """SELECT doc_id, lang, source, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""

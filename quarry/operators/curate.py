@@ -62,6 +62,17 @@ def duplicate_groups(docs: DataFrame, max_broadcast_rows: int = 2_000_000) -> Da
         "doc_id", "first_doc_id", "group_size")
 
 
+def duplicate_listing(docs: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(text, doc_id, label, first_doc_id, group_size) of every duplicate, in the order of text (NULL last), then doc_id.
+
+    ``doc_id`` is the key of ``docs``. The sort is a range partitioning on both columns, so that a
+    text that stands in many rows is split by doc_id.
+    """
+    groups = duplicate_groups(docs, max_broadcast_rows)
+    rows = docs.select("doc_id", "text", "label").join(groups, "doc_id")
+    return rows.select("text", "doc_id", "label", "first_doc_id", "group_size").orderBy(F.col("text").asc_nulls_last(), "doc_id")
+
+
 def dedup_exact(docs: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Keep the first row (smallest doc_id) of every text; other columns unchanged."""
     drop = duplicate_groups(docs, max_broadcast_rows).filter(F.col("doc_id") != F.col("first_doc_id"))

@@ -137,10 +137,15 @@ def tfidf_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every member of an exact-duplicate group."""
+    """Every member of an exact-duplicate group."""
     return CU.duplicate_groups(C.read_corpus(spark, sf_dir))
 
 
+def duplicate_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicates with text and label, sorted by text."""
+    return CU.duplicate_listing(C.read_corpus(spark, sf_dir))
+
+
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the first row of every text."""
     raw = C.read_table(spark, sf_dir, "documents")
@@ -410,6 +415,7 @@ REGISTRY = {
     "column_order": column_order,
     "tfidf_threshold": tfidf_threshold,
     "duplicate_report": duplicate_report,
+    "duplicate_listing": duplicate_listing,
     "dedup_exact": dedup_exact,
     "dedup_stats": dedup_stats,
     "patch_rows": patch_rows,

@@ -18,6 +18,14 @@ def test_duplicates_and_keep_first(spark):
     assert sorted(r.doc_id for r in again.collect()) == kept
 
 
+def test_duplicate_listing_is_sorted_by_text(spark):
+    df = spark.createDataFrame([(9, "b", "s", "x"), (8, "a", "s", None), (3, "b", "s", "y"), (4, "c", "s", "x"), (2, None, "s", "z"), (5, "a", "s", "x"),
+                                (1, None, "s", "x"), (6, "", "s", "x")], SCHEMA)
+    rows = [(r.text, r.doc_id, r.label, r.first_doc_id, r.group_size) for r in CU.duplicate_listing(df).collect()]
+    assert rows == [("a", 5, "x", 5, 2), ("a", 8, None, 5, 2), ("b", 3, "y", 3, 2), ("b", 9, "x", 3, 2), (None, 1, "x", 1, 2), (None, 2, "z", 1, 2)]
+    assert CU.duplicate_listing(df.limit(0)).count() == 0
+
+
 def test_patches_sequential_and_idempotent(spark):
     df = spark.createDataFrame(DOCS, SCHEMA)
     out = {r.doc_id: r.text for r in CU.patched_corpus(df, EDITS).collect()}

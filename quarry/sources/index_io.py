@@ -80,3 +80,17 @@ def load_index(spark: SparkSession, path: str) -> Index:
             raise IndexNotFoundError(f"index table {t} missing under {path}")
         tables[t] = spark.read.parquet(f"{path}/{t}")
     return Index(path=path, n_docs=man["n_docs"], vocab_size=man["vocab_size"], cfg=cfg, **tables)
+
+
+def save_kmeans(model, path: str) -> None:
+    """Write a fitted K-means model; an earlier one at ``path`` is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_kmeans(spark: SparkSession, path: str):
+    """The model that ``save_kmeans`` wrote; it assigns like the one that was saved."""
+    from pyspark.ml.clustering import KMeansModel
+
+    if not path_exists(spark, f"{path}/metadata"):
+        raise IndexNotFoundError(f"no K-means model at {path}; fit and save it first")
+    return KMeansModel.load(path)

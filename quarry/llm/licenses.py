@@ -1,10 +1,12 @@
 """Licence scan by a positional index of rare licence words.
 
 The templates' words form a small vocabulary; its document frequencies are counted over the whole
-corpus. Each file looks up its rarest (highest-IDF) licence words, and every place of such a word
-votes for each template position it may stand for: template and relative position. An alignment
-with enough votes is checked word by word, and counts if enough of the template stands there and
-one of the template's mandatory key phrases is complete.
+corpus. The index holds each template's rarest (highest-IDF) words with their positions, and every
+place of such a word in a file proposes an alignment: template and relative position. Of a
+template's n words m must stand in place, so at least one of any n - m + 1 does; so many are
+indexed, and every alignment that can hold is proposed, whatever else the file has. It is checked
+word by word, and counts if enough of the template stands there and one of the template's mandatory
+key phrases is complete.
 """
 
 from __future__ import annotations
@@ -47,9 +49,8 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class LicenseScan:
-    """``rarest``: licence words looked up per file; ``least``: share of a template's words that must stand in place."""
+    """``least``: share of a template's words that must stand in place."""
 
-    rarest: int = 24
     least: float = 0.6
 
 
@@ -59,6 +60,11 @@ def _words(text: str) -> list[str]:
     return [w.data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)]
 
 
+def _needed(n: int, least: float) -> int:
+    """Fewest of ``n`` words whose share is at least ``least``."""
+    return next(m for m in range(n + 1) if m / n >= least)
+
+
 class _Index:
     """Vocabulary, template postings and phrases, all as word numbers."""
 
@@ -76,15 +82,14 @@ class _Index:
         self.texts = [[number[x] for x in t] for t in texts]
         self.phrases = [[[number[x] for x in k] for k in ks] for ks in phrases]
         self.base = [([number[x] for x in p], label) for p, label in self.base]
-        self.postings = defaultdict(list)
-        for t, text in enumerate(self.texts):
-            for at, x in enumerate(text):
-                self.postings[x].append((t, at))
 
-    def possible(self, known: set[int], least: float) -> bool:
-        """Whether a file with these licence words can hold a base phrase or enough of a template."""
-        return (any(known.issuperset(p) for p, _ in self.base)
-                or any(sum(x in known for x in text) >= least * len(text) for text in self.texts))
+    def possible(self, known, least: float) -> list[int]:
+        """Templates that a file with these licence words can hold enough of."""
+        return [t for t, text in enumerate(self.texts) if sum(x in known for x in text) >= _needed(len(text), least)]
+
+    def rare(self, idf: np.ndarray, least: float) -> list[list[int]]:
+        """Per template the positions of its rarest words, so many that an alignment that holds has one of them in place."""
+        return [sorted(range(len(text)), key=lambda at: (-idf[text[at]], at))[: len(text) - _needed(len(text), least) + 1] for text in self.texts]
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Word number of each hash, -1 outside the vocabulary."""
@@ -123,27 +128,32 @@ def word_frequencies(docs: DataFrame, text_col: str = "text", index: _Index | No
     return int(df[n]), df[:n]
 
 
-def _align(places: dict[int, list[int]], at_place: dict[int, int], index: _Index, idf: np.ndarray, cfg: LicenseScan):
-    """(template, file position of its first word, share of its words in place) of each alignment that holds."""
-    rare = sorted(places, key=lambda x: (-idf[x], x))[: cfg.rarest]
-    votes: dict = defaultdict(float)
-    for x in rare:
-        for t, at in index.postings[x]:
-            for p in places[x]:
-                votes[t, p - at] += idf[x]
-    best: dict = {}
-    for (t, start), weight in sorted(votes.items()):
+def _spots(phrase: list[int], places: dict[int, list[int]], at_place: dict[int, int]) -> list[int]:
+    """File positions where the phrase's words stand consecutively."""
+    return [p for p in places.get(phrase[0], ()) if all(at_place.get(p + k) == x for k, x in enumerate(phrase))]
+
+
+def _align(places: dict[int, list[int]], at_place: dict[int, int], number: np.ndarray, index: _Index, rare: list[list[int]], cfg: LicenseScan):
+    """(template, file position of its first word, share of its words in place) of each template's best alignment that holds.
+
+    ``number``: the word number at each place of the file, -1 outside the vocabulary. Of equally good alignments the first counts.
+    """
+    out, pad = [], max(map(len, index.texts))
+    padded = np.concatenate([np.full(pad, -1), number, np.full(pad, -1)])
+    for t in index.possible(places, cfg.least):
         text = index.texts[t]
-        if 2 * weight < cfg.least * sum(idf[x] for x in text if x in places):
-            continue
-        share = sum(at_place.get(start + i) == x for i, x in enumerate(text)) / len(text)
-        if share >= cfg.least and share > best.get(t, (0, 0.0))[1]:
-            for key in index.phrases[t]:
-                spots = (p for p in places.get(key[0], ()) if start <= p <= start + len(text) - 1)
-                if any(all(at_place.get(p + i) == x for i, x in enumerate(key)) for p in spots):
-                    best[t] = (start, share)
-                    break
-    return [(t, start, share) for t, (start, share) in best.items()]
+        n = len(text)
+        starts = np.unique(np.array([p - at for at in rare[t] for p in places.get(text[at], ())], np.int64))
+        same = np.zeros(len(starts), np.int64)
+        for at, x in enumerate(text):
+            same += padded[starts + (pad + at)] == x
+        spots = np.array(sorted(p for key in index.phrases[t] for p in _spots(key, places, at_place)), np.int64)
+        phrase = np.searchsorted(spots, starts) < np.searchsorted(spots, starts + n)
+        share = np.where(phrase, same / n, 0.0)
+        if len(share) and share.max() >= cfg.least:
+            best = int(np.argmax(share))
+            out.append((t, int(starts[best]), float(share[best])))
+    return out
 
 
 def license_scan(docs: DataFrame, cfg: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,6 +169,7 @@ def license_scan(docs: DataFrame, cfg: LicenseScan = LicenseScan(), id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_docs, df = word_frequencies(rows, "text", index)
     idf = np.array([math.log((n_docs + 1) / (x + 1)) + 1 for x in df])
+    rare = index.rare(idf, cfg.least)
 
     def run(batches):
         for batch in batches:
@@ -172,7 +183,8 @@ def license_scan(docs: DataFrame, cfg: LicenseScan = LicenseScan(), id_col: str
                 present = (present % len(idf)).tolist()
                 out = [[0] * n, [None] * n, [None] * n, [""] * n, [""] * n, [0.0] * n, [[] for _ in range(n)]]
                 for d in range(n):
-                    if not index.possible(set(present[of[d] : of[d + 1]]), cfg.least):
+                    have = set(present[of[d] : of[d + 1]])
+                    if not (any(have.issuperset(p) for p, _ in index.base) or index.possible(have, cfg.least)):
                         continue
                     at = hit[bounds[d] : bounds[d + 1]]
                     first = int(w.first[d])
@@ -183,11 +195,11 @@ def license_scan(docs: DataFrame, cfg: LicenseScan = LicenseScan(), id_col: str
                         places[x].append(p)
                     starts, base = [], set()
                     for phrase, label in index.base:
-                        spots = [p for p in places.get(phrase[0], ()) if all(at_place.get(p + k) == x for k, x in enumerate(phrase))]
+                        spots = _spots(phrase, places, at_place)
                         if spots:
                             starts += spots
                             base.add(label)
-                    found = _align(places, at_place, index, idf, cfg)
+                    found = _align(places, at_place, number[first : first + int(w.first[d + 1] - w.first[d])], index, rare, cfg)
                     row = (len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                            ",".join(sorted(base | {index.labels[t] for t, _, _ in found})), 1.0 if base else max((x for _, _, x in found), default=0.0),
                            [{"label": index.labels[t], "start": p, "share": x} for t, p, x in found])

@@ -155,6 +155,32 @@ def test_licenses(docs, empty):
     assert all(r.n_words == len(word.findall((dict(TEXTS)[r.doc_id] or "").translate(LOWER))) for r in rows)
 
 
+def test_licenses_of_files_that_hold_many(spark):
+    index, r = licenses._Index(), random.Random(11)
+    texts = ["\n".join(t for _, t, _ in licenses.TEMPLATES)]
+    for _ in range(60):  # templates and pieces of them between other licence words, some words replaced
+        part = []
+        for _, t, _ in r.sample(licenses.TEMPLATES, r.randrange(1, 7)):
+            w = licenses._words(t)
+            part += [x if r.random() < 0.85 else r.choice(index.words + ["other"]) for x in w[r.randrange(3) :]] + r.choices(index.words, k=r.randrange(30))
+        texts.append(" ".join(part))
+    rows = {x.doc_id: x for x in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    for i, text in enumerate(texts):
+        w, expected = licenses._words(text), []
+        for label, template, phrases in licenses.TEMPLATES:
+            t, keys = licenses._words(template), [licenses._words(p) for p in phrases]
+            best = (0.0, 0)
+            for start in range(-len(t), len(w)):
+                share = sum(0 <= start + k < len(w) and w[start + k] == x for k, x in enumerate(t)) / len(t)
+                spots = range(max(start, 0), min(start + len(t), len(w)))
+                if share >= 0.6 and share > best[0] and any(w[p : p + len(k)] == k for k in keys for p in spots):
+                    best = (share, start)
+            if best[0]:
+                expected.append((label, best[1], best[0]))
+        assert [tuple(m) for m in rows[i].matches] == expected
+
+
 def test_secrets_brute(docs, empty):
     keys = ("password", "passwd", "secret", "token")
     either = lambda w: "".join(f"[{c.upper()}{c}]" for c in w)

@@ -156,7 +156,8 @@ def _disguised(data: np.ndarray, offsets: np.ndarray):
     odd = np.zeros(n + 1, bool)
     odd[: n - 1] = leet[:-1] & letter[1:]
     lower = T.LOWER[data]
-    odd[: n - 2] |= (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:]) & letter[:-2]
+    if n > 2:
+        odd[: n - 2] |= (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:]) & letter[:-2]
     total = np.concatenate([[0], np.cumsum(odd[:n], dtype=np.int64)])
     some_letter = np.concatenate([[0], np.cumsum(letter, dtype=np.int64)])
     doc = w.doc()

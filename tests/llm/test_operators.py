@@ -263,6 +263,14 @@ def test_disguised_words():
     assert d.decode("h3y", False) == "hey"
 
 
+def test_toxicity_of_one_letter(spark):
+    decoder, lexicon = toxicity.Decoder(np.ones((28, 28, 28)), []), toxicity.Lexicon([], np.zeros(0, int), np.zeros(0, int), np.zeros(0), toxicity.ToxicityModel())
+    for texts in (["a"], ["", "a"], ["b" * (2**21 + 5), "a"]):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert toxicity.score(frame, decoder, lexicon).count() == len(texts)
+        assert toxicity.classify(frame, frame.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")).filter("score is not null").count() == len(texts)
+
+
 def test_mixture_brute(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.randrange(0, 30)), r.choice(["en", "de", None]), r.choice(["src0", "src1", "src5", "other", None])) for i in range(400)]

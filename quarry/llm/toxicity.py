@@ -1,10 +1,11 @@
 """Toxicity through a noisy channel.
 
-Spans that look disguised (digits or signs inside words, letters repeated, letters spaced out) are
-decoded: each sign opens a set of letters it may stand for, separators may vanish, a run of equal
-letters may mean one or two, and Viterbi picks the letters that a character trigram model finds
-likeliest. The model mixes trigram counts over the whole corpus with the spelling of the learned
-words. Plain and restored words are then scored together.
+Spans that look disguised (digits or signs beside letters, letters repeated, three or more letters
+spaced out) are decoded: each sign opens a set of letters it may stand for, separators may vanish, a
+run of equal letters may mean one or two, and Viterbi picks the letters that a character trigram
+model finds likeliest. The model mixes trigram counts over the whole corpus with the spelling of the
+learned words. Neighbouring words that together spell a learned word are joined, unless each of
+them is an ordinary word. Plain and restored words are then scored together.
 
 The lexicon is learned from labelled documents: words, and beginnings that several words share, that
 toxic documents have far more often than others; a ridge logistic regression weighs them.
@@ -31,6 +32,7 @@ from quarry.session import written
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "*": "aeiou"}
 EDGES = "!|+(*"
+SIGNS = "".join(LEET)
 FOLD = dict(zip("áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"))
 GAPS = frozenset(" .-_*~'·,​")
 
@@ -43,6 +45,9 @@ _UNIT = T.ALNUM | _LEET_BYTES
 _CLASS = np.zeros(256, np.int64)
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = np.arange(1, 27)
 _CLASS[0x80:] = _CLASS[0x30:0x3A] = 27
+_GAP_BYTES = np.zeros(256, bool)
+_GAP_BYTES[[ord(c) for c in GAPS if c < "\x80"]] = True
+_WIDE_GAPS = [np.frombuffer(c.encode(), np.uint8) for c in sorted(GAPS) if c >= "\x80"]
 
 
 @dataclass(frozen=True)
@@ -93,7 +98,8 @@ def _single(word: str) -> str:
 class Decoder:
     """Viterbi over the letters that a disguised span may stand for."""
 
-    def __init__(self, counts: np.ndarray, words: list[str]):
+    def __init__(self, counts: np.ndarray, words: list[str], ordinary: frozenset[str] = frozenset()):
+        """``ordinary``: pieces of ``words`` that are words in their own right."""
         own = np.zeros((28, 28, 28))
         for w in words:
             c = [0, 0, *(_char_class(x) for x in w), 0]
@@ -102,6 +108,10 @@ class Decoder:
         smooth = lambda n: (n + 0.01) / (n.sum(axis=2, keepdims=True) + 0.28)
         self.log = np.log(0.5 * smooth(counts) + 0.5 * smooth(own)).tolist()
         self.spelt = {_single(w): w for w in words}
+        self.words, self.ordinary = frozenset(words), ordinary
+        self.heads = {w[:k] for w in words for k in range(1, len(w))}
+        inner = {w[a:b] for w in words for a in range(1, len(w)) for b in range(a + 1, len(w) + 1)}
+        self.pieces = [np.sort(_hash_of(sorted(x))) for x in (self.heads, inner)] if self.heads else None
         self.known: dict[tuple[str, bool], str] = {}
 
     def decode(self, span: str, spaced: bool) -> str:
@@ -114,6 +124,54 @@ class Decoder:
             self.known[key] = self.spelt.get(_single(text), text)
         return self.known[key]
 
+    def restored(self, span: str, spaced: bool) -> str | None:
+        """The restored word, None if nothing is disguised.
+
+        Marks at a word's edge are letters only where that spells a learned word; a learned word between digits or signs counts too.
+        """
+        if not spaced and span.strip(EDGES) != span:
+            whole = self.spelt.get(_single(self._whole(span)))
+            if whole is not None:
+                return whole
+            if not _looks_disguised(span.strip(EDGES)):
+                return None
+        text = self.decode(span, spaced)
+        if not spaced and text not in self.words and (bare := self.spelt.get(_single(span.strip(SIGNS).lower()))):
+            return bare
+        return text
+
+    def _whole(self, span: str) -> str:
+        key = (span, None)
+        if key not in self.known:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[key] = self._viterbi(span, False)
+        return self.known[key]
+
+    def joined(self, w: T.Words, gap: np.ndarray):
+        """(first word, last, learned word) of neighbouring words that spell it together, not all of them ordinary words.
+
+        ``gap``: whether only separators that may vanish stand between a word and the next.
+        """
+        if self.pieces is None or len(w) < 2:
+            return
+        own = w.hashes()
+        head, inner = (x[np.minimum(np.searchsorted(x, own), len(x) - 1)] == own for x in self.pieces)
+        raw, last = w.data.tobytes(), -1
+        for i in np.flatnonzero(head[:-1] & inner[1:] & gap).tolist():
+            if i <= last:
+                continue
+            text, k, plain = "", i, True
+            while k < len(w) and (k == i or (inner[k] and gap[k - 1])):
+                piece = raw[w.start[k] : w.end[k]].decode("utf-8", "replace")
+                text, plain = text + piece, plain and piece in self.ordinary
+                if k > i and text in self.words and not plain:
+                    yield i, k, text
+                    last = k
+                if text not in self.heads:
+                    break
+                k += 1
+
     def _viterbi(self, span: str, spaced: bool) -> str:
         lattice, s = [], [FOLD.get(c, c) for c in span.lower()]
         i = 0
@@ -145,8 +203,36 @@ class Decoder:
         return max(((cost + self.log[a][b][0], text) for (a, b), (cost, text) in best.items()), default=(0, ""))[1]
 
 
-def _disguised(data: np.ndarray, offsets: np.ndarray):
-    """(document, first byte, last, spaced) of the spans to decode in a part of a batch."""
+_DISGUISE = re.compile(r"[A-Za-z][0-9@$!|+(*]|[0-9@$!|+(*][A-Za-z]|([A-Za-z])\1\1", re.IGNORECASE)
+
+
+def _looks_disguised(word: str) -> bool:
+    return _DISGUISE.search(word) is not None
+
+
+def _plain_gaps(data: np.ndarray) -> np.ndarray:
+    """The bytes with separators outside ASCII as spaces, as many as they have bytes."""
+    out = data
+    for code in _WIDE_GAPS:
+        n = len(code)
+        first = data[: max(len(data) - n + 1, 0)] == code[0]
+        for k in range(1, n):
+            first &= data[k : len(data) - n + 1 + k] == code[k]
+        spots = np.flatnonzero(first)
+        if len(spots):
+            out = out.copy() if out is data else out
+            out[spots[:, None] + np.arange(n)] = 0x20
+    return out
+
+
+def _steps(data: np.ndarray, w: T.Words) -> np.ndarray:
+    """Characters between each word and the next, of the text before ``_plain_gaps``."""
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    return chars[w.start[1:]] - chars[w.end[:-1]]
+
+
+def _disguised(data: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = None):
+    """(document, first byte, last, spaced) of the spans to decode in a part of a batch; ``seen``: its bytes before ``_plain_gaps``."""
     out = []
     w = T.Words(data, offsets, _UNIT.astype(np.uint8))
     if not len(w):
@@ -154,7 +240,7 @@ def _disguised(data: np.ndarray, offsets: np.ndarray):
     n = len(data)
     letter, leet = _LETTER[data], _LEET_BYTES[data]
     odd = np.zeros(n + 1, bool)
-    odd[: n - 1] = leet[:-1] & letter[1:]
+    odd[: n - 1] = (leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:])
     lower = T.LOWER[data]
     if n > 2:
         odd[: n - 2] |= (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:]) & letter[:-2]
@@ -163,13 +249,13 @@ def _disguised(data: np.ndarray, offsets: np.ndarray):
     doc = w.doc()
     hit = np.flatnonzero((total[w.end] > total[w.start]) & (some_letter[w.end] > some_letter[w.start]))
     out += [(int(doc[i]), int(w.start[i]), int(w.end[i]), False) for i in hit]
-    # four or more single signs with at most two bytes between them
+    # three or more single signs with at most two characters between them; three with a letter among them
     single = (w.end - w.start) == 1
     tied = np.zeros(len(w) + 1, bool)
-    tied[1:-1] = single[1:] & single[:-1] & (w.start[1:] - w.end[:-1] <= 2) & (doc[1:] == doc[:-1])
+    tied[1:-1] = single[1:] & single[:-1] & (_steps(data if seen is None else seen, w) <= 2) & (doc[1:] == doc[:-1])
     edge = np.flatnonzero(tied[1:] != tied[:-1])
     for a, b in zip(edge[::2], edge[1::2]):
-        if b - a >= 3:
+        if b - a >= 3 or (b - a == 2 and some_letter[w.end[b]] > some_letter[w.start[a]]):
             out.append((int(doc[a]), int(w.start[a]), int(w.end[b]), True))
     return sorted(out)
 
@@ -178,9 +264,23 @@ def _restored(column, decoder: Decoder):
     """Per part of a batch: (first document, last, plain words, [(document, start, end, spaced, restored)])."""
     data, offsets = T.utf8(column)
     for i, j in T.slices(offsets, 1 << 21):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        seen, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        part = _plain_gaps(seen)
         plain = T.Words(T.LOWER[part], off, T.ALNUM)
-        spans = [(d, s, e, spaced, decoder.decode(part[s:e].tobytes().decode("utf-8", "replace"), spaced)) for d, s, e, spaced in _disguised(part, off)]
+        spans = [(d, s, e, spaced, decoder.restored(part[s:e].tobytes().decode("utf-8", "replace"), spaced)) for d, s, e, spaced in _disguised(part, off, seen)]
+        spans = [x for x in spans if x[4] is not None]
+        if decoder.words and len(plain) > 1:
+            doc = plain.doc()
+            solid = np.concatenate([[0], np.cumsum(~_GAP_BYTES[part], dtype=np.int64)])
+            gap = (_steps(seen, plain) <= 2) & (solid[plain.start[1:]] == solid[plain.end[:-1]]) & (doc[1:] == doc[:-1])
+            by_doc: dict = defaultdict(list)
+            for x in spans:
+                by_doc[x[0]].append(x)
+            for a, b, word in decoder.joined(plain, gap):
+                d, s, e = int(doc[a]), int(plain.start[a]), int(plain.end[b])
+                if not any(x[1] <= s and e <= x[2] and word in x[4] for x in by_doc[d]):  # not decoded already
+                    spans.append((d, s, e, False, word))
+            spans.sort(key=lambda x: x[:3])
         yield i, j, plain, spans
 
 
@@ -199,8 +299,8 @@ def _surprising(counts: DataFrame, key: str, n1: int, n0: int, cfg: ToxicityMode
     return sorted(r[key] for r in z.orderBy(F.desc("z"), key).limit(cfg.candidates).select(key).collect())
 
 
-def _features(sample: DataFrame, decoder: Decoder, cfg: ToxicityModel) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Features, (row, feature) pairs and labels of the sample.
+def _features(sample: DataFrame, decoder: Decoder, cfg: ToxicityModel) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The sample's (row, word, y), and features, (row, feature) pairs and labels.
 
     A feature is a word; ``beg*``, a longer word that begins so; or ``beg**``, two such words.
     Every word's and beginning's frequency by label is counted in Spark; only the chosen ones and
@@ -242,7 +342,15 @@ def _features(sample: DataFrame, decoder: Decoder, cfg: ToxicityModel) -> tuple[
     names = sorted({f for _, f in hits})
     number, order = {f: i for i, f in enumerate(names)}, {k: i for i, k in enumerate(sorted(ys))}
     pairs = np.array(sorted((order[k], number[f]) for k, f in hits), np.int64).reshape(-1, 2)
-    return names, pairs[:, 0], pairs[:, 1], np.array([ys[k] for k in sorted(ys)], np.float64)
+    return found, names, pairs[:, 0], pairs[:, 1], np.array([ys[k] for k in sorted(ys)], np.float64)
+
+
+def _ordinary(found: DataFrame, words: list[str], cfg: ToxicityModel) -> frozenset[str]:
+    """Pieces of ``words`` that stand as words in ``support`` documents of label 0 at least."""
+    pieces = sorted({w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1) if b - a < len(w)})
+    table = found.sparkSession.createDataFrame([(p,) for p in pieces], "word string")  # bounded by the lexicon
+    counts = found.filter("y = 0").join(bounded_broadcast(table, known_rows=len(pieces)), "word").groupBy("word").count()
+    return frozenset(r["word"] for r in counts.filter(F.col("count") >= cfg.support).collect())
 
 
 class Lexicon:
@@ -282,8 +390,9 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityModel = ToxicityModel()
     chosen = bounded_sample(rows.select("doc_id").join(bounded_broadcast(known), "doc_id"), cfg.sample)
     sample = rows.join(bounded_broadcast(chosen, known_rows=cfg.sample), "doc_id").withColumn("row", F.monotonically_increasing_id())
     sample = written(sample.select("row", "text", "y"), "labelled")
-    lexicon = Lexicon(*_features(sample, Decoder(counts, []), cfg), cfg)
-    return Decoder(counts, lexicon.spelling), lexicon
+    found, *features = _features(sample, Decoder(counts, []), cfg)
+    lexicon = Lexicon(*features, cfg)
+    return Decoder(counts, lexicon.spelling, _ordinary(found, lexicon.spelling, cfg)), lexicon
 
 
 def score(docs: DataFrame, decoder: Decoder, lexicon: Lexicon, cfg: ToxicityModel = ToxicityModel(), id_col: str = "doc_id",

@@ -263,6 +263,25 @@ def test_disguised_words():
     assert d.decode("h3y", False) == "hey"
 
 
+def test_disguises_in_whole_texts(spark):
+    bad = ["ass", "die", "whore", "shit", "idiot", "kys", "worthless"]
+    cfg = toxicity.ToxicityModel()
+    lexicon = toxicity.Lexicon([], np.zeros(0, int), np.zeros(0, int), np.zeros(0), cfg)
+    lexicon.words = dict.fromkeys(bad, 5.0)
+    decoder = toxicity.Decoder(np.ones((28, 28, 28)), lexicon.spelling, frozenset(["worth", "less", "as", "s"]))
+    seen = {"a$$": "ass", "a55": "ass", "di3": "die", "whor3": "whore", "shi7": "shit", "shi+": "shit", "idi07": "idiot", "idiot5": "idiot", "a s s": "ass",
+            "k y s": "kys", "k.y.5": "kys", "id iot": "idiot", "idi-ot": "idiot", "i d iot": "idiot", "i·d·i·o·t": "idiot", "id\u200biot": "idiot",
+            "i\u200bd\u200bi\u200bo\u200bt": "idiot", "1d10t": "idiot", "idiooot!": "idiot", "w0rthle55": "worthless"}
+    clean = ["hello!", "it is worth less now", "as s", "c++ f(x) 1 2 3", "mp3 no2", "a b c", "id: iota", "id\niot", "", "* * *"]
+    rows = list(enumerate([f"you {x}, naïve 中文 end" for x in seen] + clean))
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), decoder, lexicon, cfg, with_text=True).collect()}
+    for i, (text, word) in enumerate(seen.items()):
+        assert (got[i].hits, got[i].predicted, got[i].n_restored) == ([word], 1, 1), text
+        assert got[i].restored == f"you {word}, naïve 中文 end"
+    assert all(got[len(seen) + i].hits == [] for i in range(len(clean)))
+    assert got[len(seen)].restored == "hello!" and got[len(seen) + 1].restored == clean[1]
+
+
 def test_toxicity_of_one_letter(spark):
     decoder, lexicon = toxicity.Decoder(np.ones((28, 28, 28)), []), toxicity.Lexicon([], np.zeros(0, int), np.zeros(0, int), np.zeros(0), toxicity.ToxicityModel())
     for texts in (["a"], ["", "a"], ["b" * (2**21 + 5), "a"]):

@@ -13,6 +13,9 @@ Two folds, by the kind of model:
   segmentation than the model's; the fold replays the merges over the same lattice, best rank
   first, leftmost among equals, and so gives the library's ids.
 
+The folds hold a lattice as one row. Words of over ``LONGEST`` characters are few and are folded where
+they stand in the second pass, by the same rules in time about linear in their length.
+
 A character without a piece is spelt in byte pieces. Spaces become the mark U+2581, and one is put
 in front of a text that isn't empty.
 """
@@ -20,6 +23,7 @@ in front of a text that isn't empty.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path, written
 
 MARK = "▁"
-#: A word of more characters is encoded in parts of so many (its text still round-trips).
+#: A word of more characters is not put into the relations but folded by ``_LongWords``.
 LONGEST = 512
 HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 MOST_HASHED_WORDS = 200_000
@@ -216,13 +220,8 @@ def _chunks(batches, chunk_bytes: int):
 
 
 def _words(text: str, cut: re.Pattern):
-    """Words of a text, mark in front; long ones in parts."""
-    if not text:
-        return []
-    words = cut.findall(MARK + text.replace(" ", MARK))
-    if len(text) > LONGEST and max(map(len, words)) > LONGEST:
-        return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    """Words of a text, mark in front."""
+    return cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, folders: int) -> None:
@@ -235,7 +234,7 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
             for _, texts in held:
                 for text in texts:
                     seen.update(_words(text, cut))
-            words = list(seen)
+            words = [w for w in seen if len(w) <= LONGEST]
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.string())], names=["chunk", "word"])
@@ -276,7 +275,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     path = scratch_path(spark, "words")
     folders = min(max(rows.rdd.getNumPartitions(), 1), 4096)
     word_codes(rows, pieces, path, chunk_bytes, folders)
-    decoder, cut = _Decoder(pieces), re.compile(pieces.word_pattern(), re.DOTALL)
+    decoder, long, cut = _Decoder(pieces), _LongWords(pieces), re.compile(pieces.word_pattern(), re.DOTALL)
 
     def apply(batches):
         for chunk, held in _chunks(batches, chunk_bytes):
@@ -285,7 +284,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             for ids, texts in held:
                 coded, chars, good = [], [], []
                 for text in texts:
-                    got = b"".join([known.get(w) or decoder.spelt(w) for w in _words(text, cut)])
+                    got = b"".join([known.get(w) or (decoder.spelt(w) if len(w) <= LONGEST else long.ids(w, known)) for w in _words(text, cut)])
                     coded.append(got)
                     chars.append(len(text))
                     good.append(decoder.text(np.frombuffer(got, np.int32)) == text.replace(MARK, " "))
@@ -326,6 +325,73 @@ class _Decoder:
         return b"".join([self.piece.get(i, b" \xe2\x81\x87 ") for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
+class _LongWords:
+    """The folds for one long word; the lattice is looked up as it is needed."""
+
+    def __init__(self, pieces: Pieces):
+        ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
+        self.table = {p: (ranks[s], s, i) for p, i, s in pieces.rows}
+        self.longest, self.kind, self.decoder = pieces.longest, pieces.kind, _Decoder(pieces)
+        self.worst = min((s for _, _, s in pieces.rows), default=0.0) - 10.0
+
+    def ids(self, word: str, known: dict[str, bytes]) -> bytes:
+        """32-bit ids, also noted in ``known``."""
+        cuts = self.merged(word) if self.kind == "bpe" else self.viterbi(word)
+        parts = (word[a:b] for a, b in zip(cuts, cuts[1:]))
+        known[word] = b"".join([np.int32(self.table[p][2]).tobytes() if p in self.table else self.decoder.spelt(p) for p in parts])
+        return known[word]
+
+    def merged(self, word: str) -> list[int]:
+        """Byte-pair merges, best rank first, leftmost among equals: a heap of the pairs of neighbours, stale ones skipped."""
+        n = len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here; its left neighbour's start
+        heap: list = []
+
+        def offer(a: int) -> None:
+            m = end[a]
+            if a >= 0 and m < n and end[m] - a <= self.longest and (found := self.table.get(word[a : end[m]])):
+                heapq.heappush(heap, (found[0], a, m, end[m]))
+
+        for a in range(n):
+            offer(a)
+        while heap:
+            _, a, m, b = heapq.heappop(heap)
+            if end[a] != m or end[m] != b:
+                continue
+            end[a], end[m] = b, 0  # no part starts at m any more
+            if b < n:
+                before[b] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(end[cuts[-1]])
+        return cuts
+
+    def viterbi(self, word: str) -> list[int]:
+        """Best path; of equal scores the way with the larger cuts, as in the relation."""
+        score, back = [0.0], [0]
+
+        def way(s: int) -> list[int]:
+            cuts = [s]
+            while s:
+                s = back[s]
+                cuts.append(s)
+            return cuts[::-1]
+
+        for e in range(1, len(word) + 1):
+            total, start = score[e - 1] + self.worst, e - 1
+            for s in range(max(0, e - self.longest), e):
+                if found := self.table.get(word[s:e]):
+                    x = score[s] + found[1]
+                    if x > total or (x == total and s != start and way(s) + [e] > way(start) + [e]):
+                        total, start = x, s
+            score.append(total)
+            back.append(start)
+        return way(len(word))
+
+
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids) -> (doc_id, text), one row per row: the ids are joined to the piece table as bytes and put together in order.
 

@@ -354,6 +354,29 @@ def test_sentencepiece(spark, docs, empty):
     assert lattice.encode(empty, pieces).count() == 0
 
 
+def test_sentencepiece_of_long_words(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    pieces, r = lattice.load_pieces(queries.tokenizer_path()), random.Random(4)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [dict(TEXTS)[17], "x" * 513, "".join(r.choices(base64, k=20_000)), "a" + " " * 3_000 + "b", "".join(r.choices("的一是不了人我在有他这中大来上国", k=1_500)),
+             "functioninternationalization" * 60 + " end", "=" * 2_000 + "é😀" * 700, "ภาษาไทยไม่มีช่องว่าง" * 60]
+    coded = {x.doc_id: x for x in lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces, chunk_bytes=10_000).collect()}
+    for i, text in enumerate(texts):
+        assert (coded[i].ids, coded[i].round_trip, coded[i].n_pieces) == (model.encode(text), True, len(coded[i].ids)), text[:20]
+
+
+def test_long_unigram_words_as_in_the_relation(spark):
+    r = random.Random(9)
+    rows = [(c, k + 1, -3.0) for k, c in enumerate("ab")] + [("ab", 5, -4.0), ("ba", 6, -4.0), ("aab", 7, -4.5), ("abab", 8, -5.0)]
+    pieces = lattice.Pieces(tuple(rows), None, 0, "unigram")
+    some = sorted({"".join(r.choice("aabbc") for _ in range(r.randrange(1, 40))) for _ in range(60)})
+    coded = {x.word: x.ids for x in lattice.encode_words(spark.createDataFrame([(w,) for w in some], "word string"), [], pieces).collect()}
+    long = lattice._LongWords(pieces)
+    assert all(np.frombuffer(long.ids(w, {}), np.int32).tolist() == ids for w, ids in coded.items())
+
+
 def test_unigram_viterbi_brute(spark):
     r = random.Random(8)
     rows = [(c, k + 1, -3.0 - k / 7) for k, c in enumerate("abc")] + [(lattice.MARK, 9, -1.0)]

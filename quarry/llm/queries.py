@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, mixing, near_dedup, order_minhash, quality, repetition, secrets, toxicity, warc
+from quarry.llm import licenses, mixing, near_dedup, order_minhash, quality, repetition, secrets, simhash_index, toxicity, warc
 from quarry.llm import sentencepiece_lattice as lattice
 from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 from quarry.sources.corpus import read_table
@@ -80,6 +80,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and near duplicates of whole ``documents`` texts."""
+    return simhash_index.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixture": op2_mixture,
@@ -91,4 +96,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }

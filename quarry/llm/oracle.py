@@ -70,4 +70,24 @@ SELECT d.doc_id, {counts}, sha256(coalesce(b.j, '')) AS base_sha256, coalesce(a.
 FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id"""
 
 
-ORACLE_SQL = {"op4_near_dedup": OP4, "op6_warc": OP6, "op10_secret_scan": _op10()}
+OP11 = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT k.conv_id, 0 AS own, t.pos, t.role, t.text FROM k JOIN t ON t.conv_id = k.base AND t.pos <= k.h
+      UNION ALL SELECT k.conv_id, 1, t.pos, t.role, t.text FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > k.h),
+s AS (SELECT k.conv_id, coalesce(x.turns, []) AS turns FROM k LEFT JOIN (
+        SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY own, pos) AS turns FROM r GROUP BY conv_id) x ON x.conv_id = k.conv_id),
+p AS (SELECT conv_id, d, turns[1:d] AS seq, len(turns) AS whole FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+n AS (SELECT seq, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole = d) AS ends FROM p GROUP BY seq, d),
+c AS (SELECT seq[1:d - 1] AS seq, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * strlen(n.seq[n.d].text) ELSE 0 END AS saved FROM n LEFT JOIN c ON c.seq = n.seq AND c.d = n.d),
+u AS (SELECT a.seq, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum(b.saved) AS saved_tokens FROM m a JOIN m b ON b.d >= a.d AND b.seq[1:a.d] = a.seq GROUP BY a.seq, a.d)
+SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u ON u.seq = m.seq AND u.d = m.d LEFT JOIN n q ON m.d > 0 AND q.d = m.d - 1 AND q.seq = m.seq[1:m.d - 1]"""
+
+
+ORACLE_SQL = {"op11_prefix_trie": OP11, "op4_near_dedup": OP4, "op6_warc": OP6, "op10_secret_scan": _op10()}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, mixing, near_dedup, order_minhash, quality, repetition, secrets, simhash_index, toxicity, warc
+from quarry.llm import licenses, mixing, near_dedup, order_minhash, prefix_trie, quality, repetition, secrets, simhash_index, toxicity, warc
 from quarry.llm import sentencepiece_lattice as lattice
 from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 from quarry.sources.corpus import read_table
@@ -80,6 +80,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents")).drop("places")
 
 
+def rebuilt_trie(turns: DataFrame, cfg: prefix_trie.PrefixTrie = prefix_trie.PrefixTrie()) -> DataFrame:
+    """The trie by op11's rule: which conversation lends its head to conv_id, and how many turns."""
+    base = F.col("conv_id") - F.pmod(F.col("conv_id"), F.lit(5))
+    keep = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(turns, base, keep, cfg)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of rebuilt ``conversations``."""
+    return rebuilt_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near duplicates of whole ``documents`` texts."""
     return simhash_index.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -96,5 +108,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }

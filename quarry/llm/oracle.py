@@ -89,5 +89,19 @@ u AS (SELECT a.seq, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, s
 SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
 FROM m JOIN u ON u.seq = m.seq AND u.d = m.d LEFT JOIN n q ON m.d > 0 AND q.d = m.d - 1 AND q.seq = m.seq[1:m.d - 1]"""
 
+OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m, count(*)::HUGEINT AS f FROM g, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, f AS a, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2),
+s AS (SELECT c.*, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+      FROM c JOIN t USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = b.lang AND q.m > b.m AND 100 * q.f >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM d QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
 
-ORACLE_SQL = {"op11_prefix_trie": OP11, "op4_near_dedup": OP4, "op6_warc": OP6, "op10_secret_scan": _op10()}
+
+ORACLE_SQL = {"op12_collocations": OP12, "op11_prefix_trie": OP11, "op4_near_dedup": OP4, "op6_warc": OP6, "op10_secret_scan": _op10()}

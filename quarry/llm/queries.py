@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, mixing, near_dedup, order_minhash, prefix_trie, quality, repetition, secrets, simhash_index, toxicity, warc
+from quarry.llm import collocations, licenses, mixing, near_dedup, order_minhash, prefix_trie, quality, repetition, secrets, simhash_index, toxicity, warc
 from quarry.llm import sentencepiece_lattice as lattice
 from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 from quarry.sources.corpus import read_table
@@ -92,6 +92,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase collocations of whole ``documents`` texts by language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near duplicates of whole ``documents`` texts."""
     return simhash_index.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -109,5 +114,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }

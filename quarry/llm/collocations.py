@@ -18,6 +18,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,9 @@ class Collocations:
     longest: int = 5
     top: int = 2000
     no_lang: str = "und"
-    range_words: int = 500_000
+    range_words: int = 1_500_000
     bits: int = 27
-    part: int = 1 << 23
+    part: int = 1 << 24
 
 
 class Transducer:
@@ -60,41 +61,47 @@ class Transducer:
         self.symbols, self.states = symbols, states
 
     @classmethod
-    def build(cls, symbols: list[bytes], rows: Iterable[tuple], weights: Iterable[int]) -> Transducer:
-        """From keys of symbol numbers in ascending order; a state is shared or numbered as soon as no later key can change it."""
+    def build(cls, symbols: list[bytes], rows: Iterable, weights: Iterable[int], shared: Iterable[int]) -> Transducer:
+        """From keys of symbol numbers in ascending order; a state is shared or numbered as soon as no later key can change it.
+
+        ``shared``: how many symbols a key has in common with the one before.
+        """
         register: dict[tuple, int] = {(): 0}
-        path, pending, arcs = [], [], [[]]
-
-        def close(depth):
-            while len(path) > depth:
-                state = tuple(arcs.pop())
-                target = register.setdefault(state, len(register))
-                arcs[-1].append((path.pop(), pending.pop(), target))
-
-        for key, weight in zip(rows, weights):
-            same, most = 0, min(len(key), len(path))
-            while same < most and key[same] == path[same]:
-                same += 1
-            close(same)
-            for symbol in key[same:]:
+        path, pending, arcs = [], [], [[]]  # of the last key, but for its last symbol
+        size, tail, tail_weight = 0, None, 0
+        for key, weight, same in zip(rows, weights, shared):
+            if size and same == size:  # goes on where the last key ended
+                path.append(tail)
+                pending.append(tail_weight)
+                arcs.append([])
+            elif size:
+                arcs[-1].append((tail, tail_weight, 0))
+                while len(path) > same:
+                    state = tuple(arcs.pop())
+                    arcs[-1].append((path.pop(), pending.pop(), register.setdefault(state, len(register))))
+            size = len(key)
+            for symbol in key[len(path) : -1]:
                 path.append(symbol)
                 pending.append(0)
                 arcs.append([])
-            pending[-1] += weight
-        close(0)
-        states = list(register)
-        states.append(tuple(arcs[0]))
-        return cls(symbols, states)
+            tail, tail_weight = key[-1], weight
+        if size:
+            arcs[-1].append((tail, tail_weight, 0))
+        while path:
+            state = tuple(arcs.pop())
+            arcs[-1].append((path.pop(), pending.pop(), register.setdefault(state, len(register))))
+        return cls(symbols, [*register, tuple(arcs[0])])
 
     @classmethod
     def of(cls, counts: dict) -> Transducer:
         symbols = sorted({s for key in counts for s in key})
         number = {s: i for i, s in enumerate(symbols)}
         keys = sorted(counts)
-        return cls.build(symbols, ([number[s] for s in k] for k in keys), (counts[k] for k in keys))
+        shared = (next((i for i, (x, y) in enumerate(zip(k, was)) if x != y), min(len(k), len(was))) for k, was in zip(keys, [(), *keys]))
+        return cls.build(symbols, ([number[s] for s in k] for k in keys), (counts[k] for k in keys), shared)
 
     def pack(self) -> bytes:
-        arcs = np.array([a for s in self.states for a in s], np.int64).reshape(-1, 3)
+        arcs = np.fromiter(chain.from_iterable(chain.from_iterable(self.states)), np.int64).reshape(-1, 3)
         used = np.unique(arcs[:, 0])
         names = [self.symbols[i] for i in used]
         columns = [np.fromiter(map(len, names), np.int64, len(names)), np.fromiter(map(len, self.states), np.int64, len(self.states)),
@@ -149,8 +156,25 @@ class Transducer:
                     stack.append((key, asked.states[target], self.states[other]))
 
 
-def _hashes(symbols: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(s) for s in symbols), np.uint64, len(symbols))
+def _hashes(strings) -> np.ndarray:
+    """A hash per byte string of an Arrow array or list."""
+    array = pa.array(strings, pa.large_binary()) if isinstance(strings, list) else strings
+    if not len(array):
+        return np.zeros(0, np.uint64)
+    _, off, data = array.buffers()
+    offsets = np.frombuffer(off, np.int64, len(array) + 1, array.offset * 8)
+    w = T.Words.__new__(T.Words)
+    w.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    w.start, w.end = offsets[:-1], offsets[1:]
+    return w.hashes()
+
+
+def _ascending(strings) -> tuple[list[bytes], np.ndarray]:
+    """Distinct byte strings in ascending order, and the rank of each."""
+    order = pc.sort_indices(strings)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return strings.take(order).to_pylist(), rank
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -162,44 +186,58 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
 
 
 class _Shard:
-    """Words of a part of a batch on codes: ``word`` and ``lang`` number byte strings in ascending order."""
+    """Words of a part of a batch as numbers: ``word`` and ``lang`` of each word."""
 
     def __init__(self, lang, text):
         data, offsets = T.utf8(text)
         data = T.LOWER[data]
         w = T.Words(data, offsets, _IN_WORD)
-        size = w.end - w.start
-        inside = np.zeros(len(data) + 1, np.int32)
-        inside[w.start] += 1
-        inside[w.end] -= 1
-        kept = data[np.cumsum(inside[:-1], dtype=np.int32) > 0]
-        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64)), pa.py_buffer(kept)])
-        self.words, self.word = self._coded(spelled)
-        self.langs, by_doc = self._coded(lang.cast(pa.large_string()).cast(pa.large_binary()))
+        ends = np.zeros(len(w) + 1, np.int64)
+        np.cumsum(w.end - w.start, out=ends[1:])
+        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(data[_IN_WORD[data]])]).dictionary_encode()
+        self.spelled, self.word = spelled.dictionary, spelled.indices.to_numpy().astype(np.int64)
+        coded = lang.cast(pa.large_string()).cast(pa.large_binary()).dictionary_encode()
+        self.langs, by_lang = _ascending(coded.dictionary)
         doc = w.doc()
-        self.lang = by_doc[doc]
+        self.lang = by_lang[coded.indices.to_numpy()][doc]
         piece = np.searchsorted(np.flatnonzero(_PIECE_ENDS[data]), w.start)
         self.joined = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])  # the next word follows within the piece
-        self.word_hash, self.lang_hash = _hashes(self.words), _hashes(self.langs)
-
-    @staticmethod
-    def _coded(strings) -> tuple[list[bytes], np.ndarray]:
-        coded = strings.dictionary_encode()
-        order = pc.sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return coded.dictionary.take(pa.array(order)).to_pylist(), rank[coded.indices.to_numpy()]
+        self.word_hash, self.lang_hash = _hashes(self.spelled), _hashes(self.langs)
+
+    def keep(self, places: dict[int, np.ndarray]) -> list[bytes]:
+        """The words of the n-grams at these places, ascending; from now on ``word`` numbers them (-1: any other)."""
+        used = np.zeros(len(self.spelled), bool)
+        for n, at in places.items():
+            for i in range(n):
+                used[self.word[at + i]] = True
+        old = np.flatnonzero(used)
+        words, rank = _ascending(self.spelled.take(pa.array(old)))
+        new = np.full(len(used), -1, np.int64)
+        new[old] = rank
+        hashes = np.zeros(len(old), np.uint64)
+        hashes[rank] = self.word_hash[old]
+        self.spelled = pa.array(words, pa.large_binary())
+        self.word, self.word_hash, self.n_words = new[self.word], hashes, max(1, len(old))
+        return words
 
     def grams(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams at the given places, ascending, as columns (language, words), and their counts."""
-        code = self.lang[at]
+        code, known, columns = self.lang[at], max(1, len(self.langs)), None
         for i in range(n):
-            both = code * len(self.words) + self.word[at + i]
-            distinct, first, code, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
-        if not len(at):
-            return np.zeros((n + 1, 0), np.int64), np.zeros(0, np.int64)
-        place = at[first]
-        return np.stack([self.lang[place], *(self.word[place + i] for i in range(n))]), count
+            if known * self.n_words >= 1 << 62:  # else one number holds language and words
+                distinct, code = np.unique(code, return_inverse=True)
+                columns, known = self._apart(distinct, columns, i), len(distinct)
+            code, known = code * self.n_words + self.word[at + i], known * self.n_words
+        distinct, count = np.unique(code, return_counts=True)
+        return np.stack(self._apart(distinct, columns, n)), count
+
+    def _apart(self, codes: np.ndarray, columns: list | None, n: int) -> list[np.ndarray]:
+        """Language and n words of each code, whose front is a row of ``columns`` where that is given."""
+        tail = []
+        for _ in range(n - (len(columns) - 1 if columns else 0)):
+            codes, last = np.divmod(codes, self.n_words)
+            tail.append(last)
+        return ([c[codes] for c in columns] if columns else [codes]) + tail[::-1]
 
     def hits(self, n: int, at: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
         """Which of the places hold an n-gram whose bit is set."""
@@ -228,6 +266,7 @@ class _Shard:
 def _transducers(shard: _Shard, places: dict[int, np.ndarray], ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, packed transducer) of a shard's n-grams."""
     width = max(*places, PREFIX_WORDS) + 1
+    symbols = shard.langs + shard.keep(places)
     keys, counts = [], []
     for n, at in places.items():
         columns, count = shard.grams(n, at)
@@ -238,15 +277,19 @@ def _transducers(shard: _Shard, places: dict[int, np.ndarray], ranges: int) -> I
         return
     first = [shard.lang_hash[keys[0]], *(np.where(c >= 0, shard.word_hash[c], np.uint64(0)) for c in keys[1 : PREFIX_WORDS + 1])]
     home = (_mixed(first) % np.uint64(ranges)).astype(np.int64)
-    order = np.lexsort([*keys[::-1], home])
+    # one length of n-grams is in order already
+    order = np.lexsort([*keys[::-1], home]) if len(places) > 1 else np.argsort(home, kind="stable")
     keys, counts, home = keys[:, order], counts[order], home[order]
-    symbols = shard.langs + shard.words
     keys[1:][keys[1:] >= 0] += len(shard.langs)  # a language is the first symbol of its phrases
-    size = (keys >= 0).sum(axis=0).tolist()
+    size = (keys >= 0).sum(axis=0)
+    differ = np.concatenate([keys[:, 1:] != keys[:, :-1], np.ones((1, len(counts) - 1), bool)])
+    shared = np.r_[0, np.minimum(differ.argmax(axis=0), np.minimum(size[1:], size[:-1]))]
     ends = np.flatnonzero(np.r_[home[1:] != home[:-1], True]) + 1
     for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-        rows = [r[:s] for r, s in zip(keys[:, i:j].T.tolist(), size[i:j])]
-        yield int(home[i]), Transducer.build(symbols, rows, counts[i:j].tolist()).pack()
+        rows = keys[:, i:j].T.tolist()
+        if size[i:j].min() < width:
+            rows = [r[:n] for r, n in zip(rows, size[i:j].tolist())]
+        yield int(home[i]), Transducer.build(symbols, rows, counts[i:j].tolist(), [0, *shared[i + 1 : j].tolist()]).pack()
 
 
 def _home(keys: list[tuple], ranges: int) -> np.ndarray:

@@ -125,8 +125,7 @@ def sparse_rank_counts(rows: DataFrame, keys_pos: DataFrame, keys_zero: DataFram
     The small slot-count table is written once; the three frames are read from it.
     Returns (ahead, before, P).
     """
-    ks = sorted_keys(keys_pos)
-    ds = keys_zero.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ds"))
+    ks, ds = sorted_keys(keys_pos), _sorted_ids(keys_zero)
     kq = written(ks.join(ds, "query_id", "full"), "rank-keys")   # one row per query
     joined = rows.join(bounded_broadcast(kq, max_broadcast_rows, n_queries), "query_id", "left")   # 1 row / query
     joined = add_slot(joined, "ks", row_key(F.col("score"), F.col("doc_id")), max_keys, "_s0")
@@ -139,6 +138,16 @@ def sparse_rank_counts(rows: DataFrame, keys_pos: DataFrame, keys_zero: DataFram
         )).alias("e"),
     ).groupBy("query_id", F.col("e.kind").alias("kind"), F.col("e.slot").alias("slot")).agg(
         F.count(F.lit(1)).alias("n"))
+    return finish_rank_counts(slots, keys_pos, keys_zero)
+
+
+def _sorted_ids(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ds"))
+
+
+def finish_rank_counts(slots: DataFrame, keys_pos: DataFrame, keys_zero: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ahead, before, P) of ``sparse_rank_counts`` from its slot counts (query_id, kind, slot, n)."""
+    ks, ds = sorted_keys(keys_pos), _sorted_ids(keys_zero)
     slots = written(slots, "slots")    # small (<= 2 (max_keys + 1) rows per query), read three times
     pos_k = ks.select("query_id", F.posexplode("ks").alias("slot", "k")).select(
         "query_id", "slot", F.col("k.d").alias("doc_id"))

@@ -6,8 +6,9 @@ read back by both the TF-IDF branch and the hash-encoder branch, so the text
 is scanned once and each branch starts from a written table (lineage cut).
 
 Shuffles: (doc_id, term) for term counts, term for document frequency,
-doc_id for row norms, and the range partitioning of postings by (term, doc_id),
-sized from the measured row count (~128 MB per partition).
+doc_id for row norms, the range partitioning of postings by (term, doc_id),
+sized from the measured row count (~128 MB per partition), and that of the
+blocks the searches read, by doc_id.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from quarry.config import IndexConfig
 from quarry.functions import text as T
 from quarry.functions import vector as V
+from quarry.operators.block_postings import build_blocks
 from quarry.plans.sizing import bounded_broadcast, dense_ordinal, partitions_for, spread
 from quarry.session import checkpoint_dir, files_fingerprint
 from quarry.sources import index_io
 from quarry.sources.corpus import read_corpus, table_path
 
-INDEX_FORMAT = 5   # bump when the layout or any formula changes
+INDEX_FORMAT = 6   # bump when the layout or any formula changes
 
 
 def forward_terms(docs: DataFrame, cfg: IndexConfig) -> DataFrame:
@@ -91,6 +93,8 @@ def build_index(
     (postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").parquet(f"{path}/postings"))
 
+    build_blocks(spark.read.parquet(f"{path}/postings"), parts).write.mode("overwrite").parquet(f"{path}/blocks")
+
     hash_vectors(terms, docs_w, cfg.hash_dims).write.mode("overwrite").parquet(f"{path}/doc_vec")
 
     index_io.write_manifest(spark, path, {

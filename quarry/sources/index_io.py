@@ -7,6 +7,7 @@ Layout under one folder (a new folder per build; never overwritten in place):
     terms/     doc_id, term, tf                      forward index, every token of >= 2 chars
     vocab/     term, df, idf, term_index
     postings/  term, term_index, doc_id, tf, weight  range-partitioned on (term, doc_id), sorted
+    blocks/    terms, sizes, peaks, docs, at, weights  the postings dealt by document blocks (``operators.block_postings``)
     doc_vec/   doc_id, embedding                     hash-encoder unit vectors
     _manifest.json                                   config + row counts
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.session import path_exists
 from quarry.config import IndexConfig
 
-TABLES = ("docs", "doc_ord", "terms", "vocab", "postings", "doc_vec")
+TABLES = ("docs", "doc_ord", "terms", "vocab", "postings", "blocks", "doc_vec")
 
 
 class IndexNotFoundError(FileNotFoundError):
@@ -36,6 +37,7 @@ class Index:
     terms: DataFrame
     vocab: DataFrame
     postings: DataFrame
+    blocks: DataFrame
     doc_vec: DataFrame
     n_docs: int
     vocab_size: int

@@ -139,21 +139,20 @@ def _parts(batches: Iterator[pa.RecordBatch], q: QueryTerms, floor: np.ndarray |
                 yield group, docs, scores
 
 
-def _best(query: np.ndarray, doc: np.ndarray, raw: np.ndarray, n: int, floor: np.ndarray):
+def best_rows(query: np.ndarray, doc: np.ndarray, raw: np.ndarray, n: int, floor: np.ndarray) -> np.ndarray:
     """Rows that may be among each query's n best by rounded score and doc_id; raises ``floor`` to the n-th best.
 
     Rows within the margin of the n-th best stay, of equal scores the n smallest doc_ids.
     """
     order = np.lexsort((doc, -raw, query))
-    query, doc, raw = query[order], doc[order], raw[order]
+    query, raw = query[order], raw[order]
     new = np.r_[True, query[1:] != query[:-1]]
     rank = np.arange(len(query)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     nth = rank == n - 1
     floor[query[nth]] = np.maximum(floor[query[nth]], raw[nth])
     equal = np.r_[True, (query[1:] != query[:-1]) | (np.abs(raw[1:] - raw[:-1]) > 1e-12)]
     copies = np.arange(len(query)) - np.flatnonzero(equal)[np.cumsum(equal) - 1]
-    keep = (rank < n) | ((raw >= floor[query] - MARGIN) & (copies < n))
-    return query[keep], doc[keep], raw[keep]
+    return order[(rank < n) | ((raw >= floor[query] - MARGIN) & (copies < n))]
 
 
 def top_n(blocks: DataFrame, q: QueryTerms, n: int) -> DataFrame:
@@ -168,7 +167,8 @@ def top_n(blocks: DataFrame, q: QueryTerms, n: int) -> DataFrame:
             i, j = np.nonzero((scores > 0) & (scores >= floor[group][:, None] - MARGIN))
             pool = [np.r_[old, new] for old, new in zip(pool, (group[i], docs[j], scores[i, j]))]
             if len(pool[0]):
-                pool = list(_best(*pool, n, floor))
+                keep = best_rows(*pool, n, floor)
+                pool = [c[keep] for c in pool]
         yield pa.RecordBatch.from_arrays([pa.array(q.ids[pool[0]], pa.int64()), pa.array(pool[1], pa.int64()), pa.array(pool[2], pa.float64())],
                                          names=["query_id", "doc_id", "raw"])
 

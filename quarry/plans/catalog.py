@@ -14,6 +14,7 @@ from quarry import config
 from quarry.config import SearchConfig
 from quarry.functions import text as T
 from quarry.functions import vector as V
+from quarry.operators import cluster_lists as CLL
 from quarry.operators import clusters as CL
 from quarry.operators import curate as CU
 from quarry.operators import dense as D
@@ -224,12 +225,12 @@ def nearest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector searches only its 2 nearest clusters; top-3, score > 0.05."""
+    """Every vector searches only its 2 nearest clusters; top-3, score > 0.05."""
     vecs = _vectors(spark, sf_dir)
     queries = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
-    docs = vecs.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"), "embedding")
-    return CL.cluster_pruned_search(queries, docs, CL.label_centroids(vecs), 2, 3, 0.05,
-                                    max_broadcast_rows=CFG.broadcast_max_rows)
+    path = scratch_path(spark, "lists")
+    CLL.save_lists(vecs.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"), "embedding"), path)
+    return CL.cluster_pruned_search(queries, CLL.load_lists(spark, path), CL.label_centroids(vecs), 2, 3, 0.05)
 
 
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,6 +441,23 @@ SELECT j.query_id, q.text, CASE WHEN judge = 1 THEN {lit(w[1])} WHEN judge = 0 T
 FROM jd j JOIN queries q USING (query_id)"""
 
 
+_CATEGORY = "cat AS (SELECT rel.query_id, arg_min(d.lang, rel.doc_id) AS category FROM rel JOIN documents d ON d.doc_id = rel.doc_id GROUP BY rel.query_id)"
+
+
+def q_judging_sheet() -> str:
+    return f"""WITH {_judged3()}, {_CATEGORY}
+SELECT q.query_id, q.text, CASE WHEN cat.category IS NULL THEN '' ELSE 'category: ' || cat.category END AS reference,
+  r.rank, d.lang AS label, round(r.score, 3) AS confidence, d.text AS content
+FROM queries q LEFT JOIN cat USING (query_id) LEFT JOIN rrf_top r USING (query_id) LEFT JOIN documents d ON d.doc_id = r.doc_id"""
+
+
+def q_verdict_export() -> str:
+    w = config.JUDGE_WORDS_FIXED
+    return f"""WITH {_judged3()}, {_CATEGORY}
+SELECT q.query_id, q.text, cat.category, CASE WHEN judge = 1 THEN {lit(w[1])} WHEN judge = 0 THEN {lit(w[0])} ELSE {lit(w[None])} END AS judge
+FROM queries q JOIN jd USING (query_id) LEFT JOIN cat USING (query_id)"""
+
+
 def feat_toks(col: str) -> str:
     return f"list_filter({toks(col)}, lambda x: length(x) >= 2)"
 

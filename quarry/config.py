@@ -43,6 +43,9 @@ SNIPPET_CHARS_FIXED = 80    # legacy display: first 80 chars + "..."
 DEFAULT_SOURCE_FIXED = "本地知識庫"   # source shown when the column is absent
 JUDGE_WORDS_FIXED = {1: "命中", 0: "沒中", None: "略過"}   # hit / miss / skipped
 
+# fixed values: question columns that help a judge, shown where they are there
+EVAL_OPTIONAL_FIXED = ("reference_answer", "note", "category")
+
 
 def stopwords() -> list[str]:
     """Stop words as loaded by the reference: stripped, blanks dropped, distinct."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
+from quarry.functions import text as T
 
 
 def judgements(results: DataFrame, relevance: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -60,6 +61,41 @@ def judge_word(col: str = "judge"):
 
 
 def answer_code(col: str):
-    """Typed verdict -> code: 'y' hit, 's' skipped, anything else a miss."""
-    a = F.lower(F.trim(F.col(col)))
-    return F.when(a == "y", F.lit(1)).when(a == "s", F.lit(None).cast("int")).otherwise(F.lit(0))
+    """Typed verdict -> code: 'y' hit, 's' skipped, anything else a miss; NULL (no verdict) counts as skipped."""
+    a = F.lower(T.strip(col))
+    return F.when(a == "y", F.lit(1)).when(a.isNull() | (a == "s"), F.lit(None).cast("int")).otherwise(F.lit(0))
+
+
+def verdict_judgements(evalset: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(query_id, judge) from a table of typed verdicts (query_id, answer, optionally seq).
+
+    Every question of ``evalset`` is kept; one without a verdict is skipped. Of several verdicts
+    on a question the one of largest ``seq`` counts, without that column the largest answer.
+    """
+    order = F.col("seq") if "seq" in verdicts.columns else F.col("answer")
+    last = verdicts.groupBy("query_id").agg(F.max_by("answer", order).alias("answer"))
+    return evalset.select("query_id").join(last, "query_id", "left").select("query_id", answer_code("answer").alias("judge"))
+
+
+def export_judged(evalset: DataFrame, judged: DataFrame) -> DataFrame:
+    """All columns of ``evalset``, whichever are there, and ``judge`` as a word (an old ``judge`` column is replaced)."""
+    kept = [c for c in evalset.columns if c != "judge"]
+    return evalset.select(*kept).join(judged.select("query_id", "judge"), "query_id", "left").select(*kept, judge_word("judge").alias("judge"))
+
+
+def references(evalset: DataFrame, names: Sequence[str] = config.EVAL_OPTIONAL_FIXED):
+    """What helps to judge a question: "name: value" of each optional column that is there and not NULL, one per line."""
+    shown = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in names if c in evalset.columns]
+    return F.concat_ws("\n", *shown) if shown else F.lit("")
+
+
+def judging_sheet(evalset: DataFrame, results: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, text, reference, rank, label, confidence, content): a row per question and answer to judge.
+
+    evalset (query_id, text, optional columns), results (query_id, doc_id, score, rank), docs
+    (doc_id, text, label). A question without results has one row with NULLs.
+    """
+    asked = evalset.select("query_id", "text", references(evalset).alias("reference"))
+    found = results.filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", F.round("score", 3).alias("confidence")).join(
+        docs.select("doc_id", F.col("text").alias("content"), "label"), "doc_id")
+    return asked.join(found, "query_id", "left").select("query_id", "text", "reference", "rank", "label", "confidence", "content")

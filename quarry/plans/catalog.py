@@ -360,6 +360,27 @@ def judged_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("query_id", "text", EV.judge_word("judge").alias("judge"))
 
 
+def _evalset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark questions with an optional column: the language of the first document that holds the passage."""
+    first = _relevance(spark, sf_dir).join(_index(spark, sf_dir).docs.select("doc_id", "label"), "doc_id").groupBy(
+        F.col("item_id").alias("query_id")).agg(F.min_by("label", "doc_id").alias("category"))
+    return C.read_benchmark_queries(spark, sf_dir).join(first, "query_id", "left")
+
+
+def judging_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid top-3 of every question with what helps to judge it."""
+    docs = _index(spark, sf_dir).docs.select("doc_id", "text", "label")
+    return EV.judging_sheet(_evalset(spark, sf_dir), _rrf(spark, sf_dir, 3), docs, 3)
+
+
+def verdict_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed verdicts on the hybrid top-3 joined to all question columns."""
+    typed = F.when(F.col("judge") == 1, " Y\u3000").when(F.col("judge") == 0, "no").otherwise("S")
+    verdicts = _judged(spark, sf_dir).select("query_id", typed.alias("answer"))
+    evalset = _evalset(spark, sf_dir)
+    return EV.export_judged(evalset, EV.verdict_judgements(evalset, verdicts))
+
+
 # ---------------------------------------------------------------------------
 # persistence and streaming
 # ---------------------------------------------------------------------------
@@ -440,6 +461,8 @@ REGISTRY = {
     "recall_at_k": recall_at_k,
     "eval_misses": eval_misses,
     "judged_export": judged_export,
+    "judging_sheet": judging_sheet,
+    "verdict_export": verdict_export,
     "index_roundtrip": index_roundtrip,
     "stream_search": stream_search,
     "blended_search": blended_search,

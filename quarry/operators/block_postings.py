@@ -31,21 +31,26 @@ MAX_QUERY_TERMS = 2_000_000      # 20 bytes each in a task
 CELLS = 4_000_000                # queries x documents scored at a time in a task
 MARGIN = 1e-6                    # above float noise, not above the 6-digit rounding step
 BLOCK_SCHEMA = ("terms array<int>, sizes array<int>, peaks array<double>, "
-                "docs array<long>, at array<int>, weights array<double>")
+                "docs array<long>, at array<int>, tfs array<long>, weights array<double>")
 
 
-def build_blocks(postings: DataFrame, partitions: int) -> DataFrame:
-    """postings (term_index, doc_id, weight) -> one row per block; one shuffle, by ranges of doc_id."""
+def build_blocks(postings: DataFrame, partitions: int, unit: bool = False) -> DataFrame:
+    """postings (doc_id, term_index, weight, optionally tf) -> one row per block; one shuffle, by ranges of doc_id.
+
+    ``unit``: weights are divided by their document's L2 norm, which a task has at hand.
+    """
     def pack(parts: list) -> pa.RecordBatch:
-        doc, term, weight = (np.concatenate(c) for c in zip(*parts))
+        doc, term, weight, tf = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((doc, term))
-        doc, term, weight = doc[order], term[order], weight[order]
+        doc, term, weight, tf = doc[order], term[order], weight[order], tf[order]
         starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
         docs, at = np.unique(doc, return_inverse=True)
+        if unit:
+            weight = weight / np.sqrt(np.bincount(at, weight * weight))[at]
         columns = [(term[starts], pa.int32()), (np.diff(np.r_[starts, len(term)]), pa.int32()), (np.maximum.reduceat(weight, starts), pa.float64()),
-                   (docs, pa.int64()), (at, pa.int32()), (weight, pa.float64())]
+                   (docs, pa.int64()), (at, pa.int32()), (tf, pa.int64()), (weight, pa.float64())]
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in columns],
-                                          names=["terms", "sizes", "peaks", "docs", "at", "weights"])
+                                          names=["terms", "sizes", "peaks", "docs", "at", "tfs", "weights"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, n_docs, last = [], 0, None
@@ -65,8 +70,23 @@ def build_blocks(postings: DataFrame, partitions: int) -> DataFrame:
         if open_:
             yield pack(open_)
 
-    ordered = postings.select("doc_id", "term_index", "weight").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "term_index")
-    return ordered.mapInArrow(run, BLOCK_SCHEMA)
+    tf = F.col("tf").cast("long") if "tf" in postings.columns else F.lit(1).cast("long").alias("tf")
+    rows = postings.select("doc_id", F.col("term_index").cast("int").alias("term_index"), "weight", tf)
+    return rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "term_index").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def unpack_blocks(blocks: DataFrame) -> DataFrame:
+    """(term_index, doc_id, tf, weight): the postings of the blocks, without a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            for r in range(batch.num_rows):
+                get = lambda n: cols[n][r].values.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(get("terms"), get("sizes")), pa.int32()), pa.array(get("docs")[get("at")], pa.int64()), cols["tfs"][r].values, cols["weights"][r].values],
+                    names=["term_index", "doc_id", "tf", "weight"])
+
+    return blocks.mapInArrow(run, "term_index int, doc_id long, tf long, weight double")
 
 
 class QueryTerms:

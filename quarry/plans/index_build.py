@@ -5,10 +5,9 @@ token of >= 2 characters with its count per document) is written first and
 read back by both the TF-IDF branch and the hash-encoder branch, so the text
 is scanned once and each branch starts from a written table (lineage cut).
 
-Shuffles: (doc_id, term) for term counts, term for document frequency,
-doc_id for row norms, the range partitioning of postings by (term, doc_id),
-sized from the measured row count (~128 MB per partition), and that of the
-blocks the searches read, by doc_id.
+Shuffles: term for document frequency (combined before it) and ranges of doc_id
+for the blocks, sized from the measured row count (~128 MB per partition). Term
+counts and norms are taken where a document's terms stand together.
 """
 
 from __future__ import annotations
@@ -16,30 +15,45 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import IndexConfig
 from quarry.functions import text as T
 from quarry.functions import vector as V
-from quarry.operators.block_postings import build_blocks
+from quarry.operators.block_postings import build_blocks, unpack_blocks
 from quarry.plans.sizing import bounded_broadcast, dense_ordinal, partitions_for, spread
 from quarry.session import checkpoint_dir, files_fingerprint
 from quarry.sources import index_io
 from quarry.sources.corpus import read_corpus, table_path
 
-INDEX_FORMAT = 6   # bump when the layout or any formula changes
+INDEX_FORMAT = 7   # bump when the layout or any formula changes
 
 
 def forward_terms(docs: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """(doc_id, term, tf) for every token of at least two characters (stop words included)."""
+    """(doc_id, term, tf) for every token of at least two characters (stop words included).
+
+    A document's tokens stand in its row, so they are counted there, a batch of rows at a time:
+    no shuffle, and a document's terms follow each other.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column("toks")
+            flat = toks.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(toks)), pc.fill_null(pc.list_value_length(toks), 0).to_numpy())
+            width = max(1, len(flat.dictionary))
+            key, tf = np.unique(row * width + flat.indices.to_numpy(), return_counts=True)
+            doc, term = np.divmod(key, width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), flat.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())],
+                                             names=["doc_id", "term", "tf"])
+
     toks = T.feature_tokens(T.tokens("text", cfg.dictionary))
-    return (
-        docs.select("doc_id", F.explode(toks).alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).cast("long").alias("tf"))
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), toks.alias("toks")).mapInArrow(run, "doc_id long, term string, tf long")
 
 
 def tfidf_tables(terms: DataFrame, n_docs: int, cfg: IndexConfig, max_broadcast_rows: int):
@@ -74,7 +88,7 @@ def build_index(
 
     forward_terms(docs_w, cfg).write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
-    # postings rows (term, doc_id, tf, weight) are ~48 bytes in memory: ~128 MB per partition
+    # a posting is ~48 bytes in memory: ~128 MB per partition
     parts = postings_partitions or partitions_for(terms.count(), 48, shuffle_parts)
 
     tf, vocab = tfidf_tables(terms, n_docs, cfg, max_broadcast_rows)
@@ -82,18 +96,14 @@ def build_index(
     vocab_w = spark.read.parquet(f"{path}/vocab")
     vocab_size = vocab_w.count()
 
-    w = tf.join(bounded_broadcast(vocab_w.select("term", "idf", "term_index"), max_broadcast_rows, vocab_size), "term")
-    w = w.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    # term_index (integer) is the join key of the searches; the term string stays for reports
-    postings = w.select("term", F.col("term_index").cast("int").alias("term_index"), "doc_id", "tf",
-                        (F.col("w") / norm).alias("weight"))
-    # ranges over (term, doc_id): a term's postings stay contiguous, and a hot term
-    # (df up to max_df * n) is split over several partitions instead of landing in one
-    (postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-     .write.mode("overwrite").parquet(f"{path}/postings"))
-
-    build_blocks(spark.read.parquet(f"{path}/postings"), parts).write.mode("overwrite").parquet(f"{path}/blocks")
+    # document blocks: tf-idf rows come together by doc_id range, are normalised there and stay there
+    known = bounded_broadcast(vocab_w.select("term", "idf", "term_index"), max_broadcast_rows, vocab_size)
+    rows = tf.join(known, "term").select("doc_id", "term_index", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    build_blocks(rows, parts, unit=True).write.mode("overwrite").parquet(f"{path}/blocks")
+    # the same as rows, with term strings for the reports, in the blocks' order
+    names = bounded_broadcast(vocab_w.select(F.col("term_index").cast("int").alias("term_index"), "term"), max_broadcast_rows, vocab_size)
+    (unpack_blocks(spark.read.parquet(f"{path}/blocks")).join(names, "term_index")
+     .select("term", "term_index", "doc_id", "tf", "weight").write.mode("overwrite").parquet(f"{path}/postings"))
 
     hash_vectors(terms, docs_w, cfg.hash_dims).write.mode("overwrite").parquet(f"{path}/doc_vec")
 

@@ -6,8 +6,8 @@ Layout under one folder (a new folder per build; never overwritten in place):
     doc_ord/   doc_id, ord                           ord = dense rank of doc_id (ranks of zero-score ties)
     terms/     doc_id, term, tf                      forward index, every token of >= 2 chars
     vocab/     term, df, idf, term_index
-    postings/  term, term_index, doc_id, tf, weight  range-partitioned on (term, doc_id), sorted
-    blocks/    terms, sizes, peaks, docs, at, weights  the postings dealt by document blocks (``operators.block_postings``)
+    blocks/    terms, sizes, peaks, docs, at, tfs, weights  postings by document blocks (``operators.block_postings``)
+    postings/  term, term_index, doc_id, tf, weight  the blocks as rows, in their order
     doc_vec/   doc_id, embedding                     hash-encoder unit vectors
     _manifest.json                                   config + row counts
 """

@@ -9,6 +9,7 @@ strings suppresses the method's spans (never base ones).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,10 @@ BASE = (
 ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|your[_-]|x{6}|0123456789|abcdefghij|qwertyuiop|deadbeef|sha(1|256|384|512)[-:=]"
 
 
+#: characters before a candidate that the allow-list sees
+LEAD = 8
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     """Candidates are maximal runs of ``members`` of at least ``least`` characters with a digit and a letter."""
@@ -49,64 +54,126 @@ CLASSES = (
 )
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _fold(items: Column, state: Column, empty: Column, step, finish=None) -> Column:
+    """Left fold that also gathers: ``step(state, x)`` gives (next state, array of what x adds).
+
+    Appending to an array copies it, so n items are folded in about sqrt(n) blocks: an item copies
+    its block's finds only and a block the finds before it.
+    """
+    def blocks(v):
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(v, k * size + 1, size))
+
+    def one(acc, x):
+        after, adds = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.when(F.size(adds) > 0, F.concat(acc["found"], adds)).otherwise(acc["found"]).alias("found"))
+
+    def block(acc, items):
+        return F.aggregate(items, F.struct(acc["state"].alias("state"), empty.alias("found")), one,
+                           lambda i: F.struct(i["state"].alias("state"), F.concat(acc["found"], i["found"]).alias("found")))
+
+    return _let(items, lambda v: F.aggregate(blocks(v), F.struct(state.alias("state"), empty.alias("found")), block, finish or (lambda acc: acc["found"])))
+
+
 def _places(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, value) of the pattern's leftmost non-overlapping matches in code points.
+    """Array of (start, end, value, lead) of the pattern's leftmost non-overlapping matches in code points.
 
-    The text between matches and the matches themselves alternate, so their lengths add up to the starts.
+    The text between matches and the matches themselves alternate, so their lengths add up to the
+    starts. ``lead`` is the ``LEAD`` characters before the match.
     """
     matches, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("before"), matches.alias("match"), values.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,lead:string>>")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["before"])
+    def step(state, x):
+        start = state["at"] + F.length(x["before"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
+        lead = F.right(F.concat(state["tail"], x["before"]), F.lit(LEAD))
+        tail = F.right(F.concat(state["tail"], x["before"], F.coalesce(x["match"], F.lit(""))), F.lit(LEAD))
+        found = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), lead.alias("lead"))
         keep = x["match"].isNotNull() & (F.length(x["value"]) >= least)
-        found = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
+        return F.struct(end.alias("at"), tail.alias("tail")), F.when(keep, F.array(found)).otherwise(empty)
 
-    places = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    places = _fold(steps, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), empty, step)
     return F.when(text.rlike(pattern if group else f"{pattern[:-1]}{{{least - 4 if pattern.startswith('AKIA') else least},}}"), places).otherwise(empty)
 
 
-def _weigh(c: Column) -> Column:
-    """c log2 c, the part of a count in a window's entropy."""
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-
-
 def _dense_window(value: Column, window: int, bits: float) -> Column:
     """(first, last): the hull of the windows of ``value`` with entropy of ``bits`` or more; nulls without one.
 
-    H = log2(w) - sum(c log2 c) / w. The fold's state holds the count of each ASCII character.
+    H = log2(w) - sum(c log2 c) / w. The fold's state holds the counts of the ASCII characters, packed
+    several to a long, and the sum in units of 2^-40, so that it stays exact over any length.
     """
-    chars = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(value.substr(i, F.lit(1))))
-    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"),
+    width = window.bit_length()
+    each = 63 // width
+    weights = F.array(*(F.lit(round(c * math.log2(c) * 2**40) if c else 0) for c in range(window + 1)))
+    most = math.floor((math.log2(window) - bits) * window * 2**40)
+    codes = F.transform(F.split(value, ""), F.ascii)
+    shift = lambda c: F.pmod(c, F.lit(each)) * width
+    held = lambda n, c: F.call_function("shiftright", F.get(n, F.floor(c / each).cast("int")), shift(c)).bitwiseAND((1 << width) - 1).cast("int")
+    unit = lambda c, k: F.when(F.floor(c / each) == k, F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))).otherwise(F.lit(0).cast("long"))
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), -(-128 // each)).alias("n"), F.lit(0).cast("long").alias("sum"),
                      F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    gone = lambda acc: F.when(acc["i"] >= window, F.ascii(value.substr(acc["i"] - (window - 1), F.lit(1))))
 
-    def step(acc, c):
+    def step(acc, x):
         # the character that leaves is taken off before the one that enters is counted
-        out = gone(acc)
-        was = F.element_at(acc["n"], out + 1)
-        less = acc["sum"] - F.coalesce(_weigh(was) - _weigh(was - 1), F.lit(0.0))
-        now = F.element_at(acc["n"], c + 1) - F.when(out == c, 1).otherwise(0)
-        total = less + _weigh(now + 1) - _weigh(now)
-        counts = F.transform(acc["n"], lambda x, k: x + F.when(k == c, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
+        counts = F.transform(acc["n"], lambda n, k: n + unit(x["c"], k) - unit(x["out"], k))
+        was = held(acc["n"], x["out"])
+        now = held(acc["n"], x["c"]) - F.when(x["out"] == x["c"], 1).otherwise(0)
+        lost = F.when(x["out"].isNotNull(), F.get(weights, was) - F.get(weights, was - 1)).otherwise(F.lit(0).cast("long"))
+        total = acc["sum"] - lost + F.get(weights, now + 1) - F.get(weights, now)
         i = acc["i"] + 1
-        dense = (i >= window) & (F.log2(F.lit(float(window))) - total / window >= bits)
+        dense = (i >= window) & (total <= most)
         return F.struct(i.alias("i"), counts.alias("n"), total.alias("sum"),
                         F.coalesce(acc["first"], F.when(dense, i - window)).alias("first"), F.when(dense, i).otherwise(acc["last"]).alias("last"))
 
-    return F.aggregate(chars, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def hull(all_codes):
+        gone = F.concat(F.array_repeat(F.lit(None).cast("int"), window), F.slice(all_codes, 1, F.greatest(F.size(all_codes) - window, F.lit(0))))
+        pairs = F.zip_with(all_codes, gone, lambda c, out: F.struct(c.alias("c"), out.alias("out")))
+        return F.aggregate(F.filter(pairs, lambda x: x["c"].isNotNull()), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return _let(codes, hull)
 
 
 def _entropy_places(text: Column, cls: CharacterClass, allowed: str) -> Column:
     candidates = F.filter(_places(text, f"[{cls.members}]+", 0, cls.least), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    dense = F.transform(candidates, lambda s: F.struct(
-        s.alias("s"), _dense_window(s["value"], cls.window, cls.bits).alias("d"),
-        text.substr(F.greatest(s["start"] - 7, F.lit(1)), s["end"] - F.greatest(s["start"] - 8, F.lit(0))).alias("around")))
-    held = F.filter(dense, lambda x: x["d"]["first"].isNotNull() & ~x["around"].rlike(allowed))
-    return F.transform(held, lambda x: F.struct((x["s"]["start"] + x["d"]["first"]).alias("start"), (x["s"]["start"] + x["d"]["last"]).alias("end")))
+    harmful = F.filter(candidates, lambda s: ~F.concat(s["lead"], s["value"]).rlike(allowed))
+    dense = F.transform(harmful, lambda s: F.struct(s["start"].alias("at"), _dense_window(s["value"], cls.window, cls.bits).alias("d")))
+    held = F.filter(dense, lambda x: x["d"]["first"].isNotNull())
+    return F.transform(held, lambda x: F.struct((x["at"] + x["d"]["first"]).alias("start"), (x["at"] + x["d"]["last"]).alias("end")))
+
+
+def _apart(dense: Column, base: Column) -> Column:
+    """The spans of ``dense`` that touch no span of ``base`` and stand in no other one of ``dense``; equal ones once.
+
+    Both kinds are walked together from the left, the longer of two with one start first: a span
+    touches a base span before it if one reaches past its start, and stands in an earlier span that
+    reaches its end. A walk from the right finds the base spans that start inside.
+    """
+    none = F.array().cast("array<struct<start:int,rest:int,dense:boolean>>")
+    far = F.lit(2**31 - 1)
+    named = lambda a, is_dense: F.transform(a, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rest"), F.lit(is_dense).alias("dense")))
+    both = F.array_sort(F.concat(named(base, False), named(dense, True)))
+
+    def right(acc, x):
+        end = -x["rest"]
+        clear = x["dense"] & (acc["base"] <= x["start"]) & (acc["dense"] < end)
+        after = F.struct(F.when(x["dense"], acc["base"]).otherwise(F.greatest(acc["base"], end)).alias("base"),
+                         F.when(x["dense"], F.greatest(acc["dense"], end)).otherwise(acc["dense"]).alias("dense"))
+        return after, F.when(~x["dense"] | clear, F.array(x)).otherwise(none)
+
+    def left(next_base, x):
+        after = F.when(x["dense"], next_base).otherwise(x["start"])
+        return after, F.when(x["dense"] & (next_base >= -x["rest"]), F.array(x)).otherwise(none)
+
+    zero = F.struct(F.lit(0).alias("base"), F.lit(0).alias("dense"))
+    kept = _fold(F.reverse(_fold(both, zero, none, right)), far, none, left)
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), (-x["rest"]).alias("end")))
 
 
 def _joined(spans: Column) -> Column:
@@ -136,11 +203,10 @@ def _scanned(rows: DataFrame, classes, allowed: str) -> DataFrame:
     spans = lambda a, kind, rank: F.transform(a, lambda s: F.struct(
         s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     candidate = "|".join(f"[{c.members}]{{{c.least},}}" for c in classes)
-    more = F.when(text.rlike(candidate), F.array_distinct(F.concat(*(_entropy_places(text, c, allowed) for c in classes))))
+    more = F.when(text.rlike(candidate), F.concat(*(_entropy_places(text, c, allowed) for c in classes)))
     found = found.select("row", "text", *kinds, F.coalesce(more, F.array().cast("array<struct<start:int,end:int>>")).alias("dense"),
                          F.concat(*(spans(F.col(k), k, i) for i, k in enumerate(kinds))).alias("base"))
-    apart = F.filter("dense", lambda d: ~F.exists("base", lambda b: (b["start"] < d["end"]) & (d["start"] < b["end"]))
-                     & ~F.exists("dense", lambda e: (e["start"] <= d["start"]) & (d["end"] <= e["end"]) & (e != d)))
+    apart = F.when(F.size("dense") > 0, _apart(F.col("dense"), F.col("base"))).otherwise(F.col("dense"))
     return found.select("row", "text", *kinds, "base", F.array_sort(F.concat("base", spans(apart, "entropy", len(kinds)))).alias("places"))
 
 
@@ -158,12 +224,22 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None
 
 def masked(text: Column, places: Column, mark: str = "[secret]") -> Column:
     """The text with each place (overlapping ones together) replaced by ``mark``; unchanged without places."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    strings = F.array().cast("array<string>")
+    blocks = _let(places, lambda v: _let(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda size: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(v, k * size + 1, size))))
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        between = text.substr(acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
-    return F.when(F.size(places) > 0, F.aggregate(places, start, step, rest)).otherwise(text)
+        between = acc["part"].substr(acc["at"] - acc["from"] + 1, s["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["from"].alias("from"), acc["part"].alias("part"),
+                        F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc, held):
+        # a block's part of the text is cut out once, so that a place walks through that part only
+        reach = F.greatest(acc["at"], F.array_max(F.transform(held, lambda s: s["end"])))
+        part = F.struct(acc["at"].alias("at"), acc["at"].alias("from"), text.substr(acc["at"] + 1, reach - acc["at"]).alias("part"), F.lit("").alias("out"))
+        return F.aggregate(held, part, step, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text)))
+    start = F.struct(F.lit(0).alias("at"), strings.alias("out"))
+    return F.when(F.size(places) > 0, F.aggregate(blocks, start, block, rest)).otherwise(text)

@@ -214,6 +214,46 @@ def test_secrets_brute(docs, empty):
     assert masked[5].text is None and masked[4].n_chars == 7
 
 
+def test_secrets_in_long_runs_and_many(spark):
+    r = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "Z" * 500 + "".join(r.choices(chars, k=100_000)) + "z1" * 300
+    lines = ["".join(r.choices(d, k=40)) for d in ("0123456789abcdef", "0123456789ABCDEF") for _ in range(3_000)]
+    hashes = "".join(f"{x:>50}\n" for x in lines)
+    got = {x.doc_id: x for x in secrets.secret_scan(spark.createDataFrame([(1, run), (2, hashes), (3, "x" * 10)], "doc_id long, text string")).collect()}
+
+    def windows(v, cls):
+        count, hot = {}, []
+        for i, c in enumerate(v):
+            count[c] = count.get(c, 0) + 1
+            if i >= cls.window:
+                count[v[i - cls.window]] -= 1
+            ent = -sum(n / cls.window * math.log2(n / cls.window) for n in count.values() if n)
+            hot += [i + 1] if i + 1 >= cls.window and ent >= cls.bits else []
+        return (hot[0] - cls.window, hot[-1]) if hot else None
+
+    hexadecimal, capitals, base64 = secrets.CLASSES
+    a, b = windows(run, base64)
+    assert [(x.kind, x.start, x.end) for x in got[1].places if x.kind == "entropy"] == [("entropy", a, b)]
+    want = []
+    for i, v in enumerate(lines):
+        at = 51 * i + 10
+        base = [(at + m.start(), at + m.end(), "hex") for m in re.finditer("[0-9a-f]{16,}", v)]
+        dense = {(at + w[0], at + w[1]) for c in (hexadecimal, capitals, base64) for m in re.finditer(f"[{c.members}]{{{c.least},}}", v)
+                 if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and (w := windows(m[0], c)) and (w := (w[0] + m.start(), w[1] + m.start()))}
+        apart = [d for d in dense if not any(s < d[1] and d[0] < e for s, e, _ in base) and not any(e != d and e[0] <= d[0] and d[1] <= e[1] for e in dense)]
+        want += sorted(base + [(*d, "entropy") for d in apart])
+    assert [(x.start, x.end, x.kind) for x in got[2].places] == want and got[2].n_hex >= 3_000 and any(k == "entropy" for *_, k in want)
+    assert got[3].spans == ""
+    clean = secrets.mask_secrets(spark.createDataFrame([(2, hashes)], "doc_id long, text string")).collect()[0].text
+    out, at = [], 0
+    for start, end, _ in want:
+        if start >= at:
+            out += [hashes[at:start], "[secret]"]
+        at = max(at, end)
+    assert clean == "".join(out) + hashes[at:]
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u1", "é<p>"), (2, "u2", "é<p>"), (3, None, None), (4, "a\nb", ""), (5, "u", "WARC/1.1\r\n\r\nx"), (None, "n", "é<p>")],
                                   "page_id long, url string, html string")

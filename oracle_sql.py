@@ -268,6 +268,27 @@ UNION ALL
 SELECT (mx.m + row_number() OVER (ORDER BY pos))::BIGINT AS doc_id, text, source, label FROM absent, mx"""
 
 
+def q_version_history() -> str:
+    """Counts of each version; markers are looked for in the patched texts, appended rows one after the other."""
+    ctes, n = _patch_ctes()
+    vals = ", ".join(f"({i}, {lit(m)}, {lit(t)})" for i, (m, t, *_) in enumerate(config.APPEND_ROWS))
+    stats = "count(*)::BIGINT AS n_docs, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, coalesce(sum(doc_id), 0)::BIGINT AS sum_ids"
+    return f"""WITH RECURSIVE {ctes},
+kept AS (SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+patched AS (SELECT doc_id, t{n} AS text FROM p{n} SEMI JOIN kept USING (doc_id)),
+new_rows(pos, marker, text) AS (VALUES {vals}),
+fresh AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM new_rows n WHERE NOT EXISTS (SELECT 1 FROM patched d WHERE contains(d.text, n.marker))),
+steps AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS taken
+  UNION ALL
+  SELECT f.k, CASE WHEN len(list_filter(s.taken, lambda t: contains(t, f.marker))) = 0 THEN list_append(s.taken, f.text) ELSE s.taken END
+  FROM steps s JOIN fresh f ON f.k = s.k + 1),
+last AS (SELECT taken FROM steps ORDER BY k DESC LIMIT 1),
+added AS (SELECT (SELECT coalesce(max(doc_id), -1) FROM patched) + generate_subscripts(taken, 1) AS doc_id, unnest(taken) AS text FROM last),
+appended AS (SELECT doc_id, text FROM patched UNION ALL SELECT doc_id, text FROM added)
+SELECT 'write' AS operation, {stats} FROM documents UNION ALL SELECT 'dedup', {stats} FROM kept
+UNION ALL SELECT 'patch', {stats} FROM patched UNION ALL SELECT 'append', {stats} FROM appended"""
+
+
 EV = """ev AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 cm AS (SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT label AS cluster, i, avg(x) AS m FROM ev GROUP BY ALL) GROUP BY cluster),
 cn AS (SELECT cluster, list_transform(c, lambda v: v / nrm) AS c FROM (

@@ -23,6 +23,7 @@ from quarry.operators import relevance as RL
 from quarry.operators import rerank as RR
 from quarry.operators import fuzzy_search as FS
 from quarry.operators.topk import top_k
+from quarry.plans import curation as CUR
 from quarry.plans import hybrid as H
 from quarry.plans import reports as R
 from quarry.plans.sizing import bounded_broadcast
@@ -31,6 +32,7 @@ from quarry.plans.search import tfidf_search
 from quarry.session import scratch_path
 from quarry.sources import corpus as C
 from quarry.sources import index_io
+from quarry.sources import versioned as VT
 from quarry.streaming import query_stream as QS
 from quarry.plans.index_build import build_index
 
@@ -185,6 +187,25 @@ def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "source", "label")
 
 
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written, deduplicated, patched and appended to as versions; each one read back.
+
+    Every version is read after the last was written, so earlier ones must still stand.
+    """
+    root = scratch_path(spark, "versions")
+    VT.write_version(C.read_corpus(spark, sf_dir), root)
+    CUR.dedup_table(spark, root)
+    CUR.patch_table(spark, root, _edits())
+    CUR.append_table(spark, root, [CU.NewRow(*r) for r in config.APPEND_ROWS])
+    found = None
+    for v in VT.versions(spark, root):
+        one = VT.read_version(spark, root, v.number).agg(
+            F.count(F.lit(1)).cast("long").alias("n_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"),
+            F.coalesce(F.sum("doc_id"), F.lit(0)).cast("long").alias("sum_ids")).withColumn("operation", F.lit(v.operation))
+        found = one if found is None else found.unionByName(one)
+    return found.select("operation", "n_docs", "n_chars", "sum_ids")
+
+
 # ---------------------------------------------------------------------------
 # dense vectors and clusters
 # ---------------------------------------------------------------------------
@@ -443,6 +464,7 @@ REGISTRY = {
     "patch_rows": patch_rows,
     "patch_report": patch_report,
     "append_if_absent": append_if_absent,
+    "version_history": version_history,
     "dense_topk": dense_topk,
     "embed_hash": embed_hash,
     "embed_word2vec": embed_word2vec,

@@ -8,7 +8,7 @@ from conftest import SF001
 
 ROWS_ONLY = {"embed_word2vec", "cluster_fit", "rerank_learned", "blended_search"}
 FAST_KEYS = ["tfidf_topk", "clean_text", "vocab_df", "doc_top_terms", "duplicate_report", "patch_report",
-             "append_if_absent", "patch_rows", "column_order", "dense_topk", "nearest_clusters", "cluster_report", "relevance_pairs", "hybrid_rrf"]
+             "append_if_absent", "version_history", "patch_rows", "column_order", "dense_topk", "nearest_clusters", "cluster_report", "relevance_pairs", "hybrid_rrf"]
 
 
 def test_entry_smoke(spark):

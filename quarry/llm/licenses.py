@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,9 +50,13 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class LicenseScan:
-    """``least``: share of a template's words that must stand in place."""
+    """``least``: share of a template's words that must stand in place; ``most_bytes``: the largest template table that is taken.
+
+    The index of the templates is held by every task, so a larger table is refused, never cut.
+    """
 
     least: float = 0.6
+    most_bytes: int = 16 << 20
 
 
 def _words(text: str) -> list[str]:
@@ -60,6 +65,24 @@ def _words(text: str) -> list[str]:
     return [w.data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)]
 
 
+def template_rows(templates: DataFrame | Sequence, cfg: LicenseScan = LicenseScan()) -> list[tuple]:
+    """(label, template, phrases) of a template table or list, as the index takes them, ordered by label and template.
+
+    A table has the columns label, template and phrases (array of strings; null: no phrase is
+    mandatory). Rows without a label or without words are left out, as are phrases without words;
+    repeated rows count once; other columns are not read. A table of over ``most_bytes`` bytes of
+    text raises ValueError before it is gathered.
+    """
+    if isinstance(templates, DataFrame):
+        rows = templates.select(F.col("label").cast("string"), F.col("template").cast("string"), F.col("phrases").cast("array<string>")).distinct()
+        size = rows.agg(F.sum(F.coalesce(F.octet_length("template"), F.lit(0)) + F.coalesce(F.octet_length(F.array_join("phrases", " ")), F.lit(0)))).first()[0] or 0
+        if size > cfg.most_bytes:
+            raise ValueError(f"the templates have {size} bytes of text, over most_bytes = {cfg.most_bytes}")
+        templates = [tuple(r) for r in rows.collect()]  # bounded by most_bytes
+    found = ((label, text, tuple(p for p in keys or () if p and _words(p))) for label, text, keys in templates if label is not None and text and _words(text))
+    return sorted(set(found))
+
+
 def _needed(n: int, least: float) -> int:
     """Fewest of ``n`` words whose share is at least ``least``."""
     return next(m for m in range(n + 1) if m / n >= least)
@@ -138,7 +161,7 @@ def _align(places: dict[int, list[int]], at_place: dict[int, int], number: np.nd
 
     ``number``: the word number at each place of the file, -1 outside the vocabulary. Of equally good alignments the first counts.
     """
-    out, pad = [], max(map(len, index.texts))
+    out, pad = [], max(map(len, index.texts), default=0)
     padded = np.concatenate([np.full(pad, -1), number, np.full(pad, -1)])
     for t in index.possible(places, cfg.least):
         text = index.texts[t]
@@ -148,7 +171,7 @@ def _align(places: dict[int, list[int]], at_place: dict[int, int], number: np.nd
         for at, x in enumerate(text):
             same += padded[starts + (pad + at)] == x
         spots = np.array(sorted(p for key in index.phrases[t] for p in _spots(key, places, at_place)), np.int64)
-        phrase = np.searchsorted(spots, starts) < np.searchsorted(spots, starts + n)
+        phrase = (np.searchsorted(spots, starts) < np.searchsorted(spots, starts + n)) if index.phrases[t] else np.ones(len(starts), bool)
         share = np.where(phrase, same / n, 0.0)
         if len(share) and share.max() >= cfg.least:
             best = int(np.argmax(share))
@@ -156,16 +179,19 @@ def _align(places: dict[int, list[int]], at_place: dict[int, int], number: np.nd
     return out
 
 
-def license_scan(docs: DataFrame, cfg: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, cfg: LicenseScan = LicenseScan(), id_col: str = "doc_id", text_col: str = "text",
+                 templates: DataFrame | Sequence | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     Base places are those where a base phrase's words stand consecutively; first_word and
     last_word are their smallest and largest start (null without one). ``matches`` lists the
     method's (label, start word, share). Score is the best share, 1 for a base place, else 0.
     Null and empty texts have no words, empty labels and score 0. Rows are scanned one by one;
-    a null id stays null; other columns are not read.
+    a null id stays null; other columns are not read. ``templates`` (see ``template_rows``) take
+    the place of the built-in notices and may be whole licence texts; without any, only the base
+    phrases label.
     """
-    index = _Index()
+    index = _Index(TEMPLATES if templates is None else template_rows(templates, cfg))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_docs, df = word_frequencies(rows, "text", index)
     idf = np.array([math.log((n_docs + 1) / (x + 1)) + 1 for x in df])

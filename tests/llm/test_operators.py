@@ -155,6 +155,39 @@ def test_licenses(docs, empty):
     assert all(r.n_words == len(word.findall((dict(TEXTS)[r.doc_id] or "").translate(LOWER))) for r in rows)
 
 
+def test_licenses_of_a_template_table(spark):
+    r = random.Random(9)
+    whole = [f"w{r.randrange(900)}" for _ in range(2500)]  # as long as a whole licence text
+    table = spark.createDataFrame(
+        [("long", " ".join(whole), ["w1 never there", " ".join(whole[40:44])], 1), ("long", " ".join(whole), ["w1 never there", " ".join(whole[40:44])], 2),
+         ("short", "Free for Any Use", None, 1), ("strict", "free for any use", ["use only"], 1), (None, "free for any", None, 1), ("blank", " -- ", [""], 1), ("none", None, None, 1)],
+        "label string, template string, phrases array<string>, rep int")
+    assert [(label, keys) for label, _, keys in licenses.template_rows(table)] == [("long", ("w1 never there", " ".join(whole[40:44]))), ("short", ()), ("strict", ("use only",))]
+    share = lambda n: [w if i % 10 < n else "x" for i, w in enumerate(whole)]
+    few = share(10)
+    few[40:44] = ["x"] * 4
+    texts = [(1, "preface " + " ".join(whole) + " end"), (2, " ".join(share(7))), (3, " ".join(share(5))), (4, "it is FREE for any use, all rights reserved"),
+             (5, "free for any use only"), (6, None), (7, " ".join(few)), (8, " ".join(whole[:1000])), (None, "free, for any: use")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.license_scan(docs, templates=table).collect()}
+    keyed = tuple(whole[40:44]) in {tuple(share(7)[i : i + 4]) for i in range(2500)}
+    assert {i: x.labels for i, x in got.items()} == {
+        1: "long", 2: "long" if keyed else "", 3: "", 4: "reserved,short", 5: "short,strict", 6: "", 7: "", 8: "", None: "short"}
+    assert [(m.label, m.start, m.share) for m in got[1].matches] == [("long", 1, 1.0)] and got[4].base_labels == "reserved"
+    base = {x.doc_id: x.labels for x in licenses.license_scan(docs, templates=table.limit(0)).collect()}
+    assert base[4] == "reserved" and base[1] == ""
+    with pytest.raises(ValueError, match="most_bytes"):
+        licenses.license_scan(docs, licenses.LicenseScan(most_bytes=1000), templates=table)
+
+
+def test_repetition_that_only_the_method_rejects(spark):
+    w = [f"n{i}" for i in range(3000)]
+    texts = [(1, " ".join(w + w[500:650])), (2, " ".join(w + w[500:600])), (3, " ".join(w))]
+    got = {x.doc_id: x for x in repetition.quality_rules(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [(got[i].base_failed, got[i].longest_repeat, got[i].covered_words, got[i].kept) for i in (1, 2, 3)] == [
+        (False, 150, 300, False), (False, 100, 200, True), (False, 0, 0, True)]
+
+
 def test_licenses_of_files_that_hold_many(spark):
     index, r = licenses._Index(), random.Random(11)
     texts = ["\n".join(t for _, t, _ in licenses.TEMPLATES)]

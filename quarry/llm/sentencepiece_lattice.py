@@ -2,16 +2,19 @@
 
 A first pass over the texts notes the distinct words of each chunk of text. The corpus's distinct
 words are exploded into their substrings of bounded length, equi-joined to the piece table, and the
-edges grouped by word again; a fold over each word's lattice gives its pieces. The coded words go
-back to the chunks that have them as a written table, and a second pass replaces each chunk's words
-by their ids. Texts are never shuffled, and a task holds the words of one chunk at a time.
+edges grouped by word again; a fold over each word's lattice gives its pieces. The codes go back to
+the chunks as a written table, under the word's number in its chunk (by first appearance), and a
+second pass, which meets the words in the same order, replaces them by their ids. Texts are never
+shuffled, and a task holds the words of one chunk at a time.
 
 Two folds, by the kind of model:
 
 * unigram: Viterbi, the best-scoring path through the lattice.
 * bpe: scores are merge ranks, not log-probabilities, and the best-scoring path is another
   segmentation than the model's; the fold replays the merges over the same lattice, best rank
-  first, leftmost among equals, and so gives the library's ids.
+  first, leftmost among equals, and so gives the library's ids. Edges are taken in this order in one
+  pass, with the word's cuts as the bits of a long. Should a merge open up an earlier edge (or the word
+  have over ``SHORT`` characters), the best merge is looked up anew after each one.
 
 The folds hold a lattice as one row. Words of over ``LONGEST`` characters are few and are folded where
 they stand in the second pass, by the same rules in time about linear in their length.
@@ -34,11 +37,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.folders import open_folder
 from quarry.session import scratch_path, written
 
 MARK = "▁"
 #: A word of more characters is not put into the relations but folded by ``_LongWords``.
 LONGEST = 512
+#: The cuts of a word of so many characters stand in the bits of a long.
+SHORT = 61
 HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 MOST_HASHED_WORDS = 200_000
 
@@ -101,9 +107,15 @@ def load_pieces(path: str, kind: str = "bpe") -> Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """piece, id, score, rank (0 for the best score)."""
+    """piece, id, score, rank (0 for the best score), late (1: two parts make it up of which one may be merged after the whole's turn)."""
     ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
-    return spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in pieces.rows], "piece string, id int, score double, rank int")
+    at = {p: ranks[s] for p, _, s in pieces.rows}
+
+    def late(p: str) -> int:
+        parts = ((p[:m], p[m:]) for m in range(1, len(p)))
+        return int(any(all(len(x) == 1 or x in at for x in two) and any(len(x) > 1 and at[x] >= at[p] for x in two) for two in parts))
+
+    return spark.createDataFrame([(p, i, s, ranks[s], late(p)) for p, i, s in pieces.rows], "piece string, id int, score double, rank int, late int")
 
 
 def _let(value: Column, body) -> Column:
@@ -129,15 +141,76 @@ def _ids(word: Column, cuts: Column, id_at, pieces: Pieces) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: one(cuts[i - 1], cuts[i])))
 
 
+def _edge(rank: Column, late: Column, start: Column, end: Column, id_: Column) -> Column:
+    """rank, late, start, end, id as one long, which sorts by rank and start: 21, 1, 10, 10 and 21 bits."""
+    rank, late, start, end = (F.shiftleft(c.cast("long"), n) for c, n in ((rank, 42), (late, 41), (start, 31), (end, 21)))
+    return rank.bitwiseOR(late).bitwiseOR(start).bitwiseOR(end).bitwiseOR(id_.cast("long"))
+
+
+def _bits(edge: Column, shift: int, n: int) -> Column:
+    return F.shiftright(edge, shift).bitwiseAND((1 << n) - 1)
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def _ends_are_cuts(cuts: Column, x: Column) -> Column:
+    return cuts.bitwiseAND(x["ends"]) == x["ends"]
+
+
+def _joins_two(cuts: Column, x: Column) -> Column:
+    """Whether the edge spans just two of the parts between the cuts."""
+    return _ends_are_cuts(cuts, x) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
+
+
+def _one_pass(word: Column, spans: Column) -> Column:
+    """Cuts (bits) after the merges; 0 where a merge opens up an edge whose turn is over."""
+    late = F.filter(spans, lambda x: _bits(x["edge"], 41, 1) == 1)
+
+    def fold(late: Column) -> Column:
+        def step(cuts, x):
+            after = cuts.bitwiseAND(F.bitwise_not(x["inside"]))
+            merged = _let(after, lambda now: F.when(F.exists(late, lambda y: (y["edge"] < x["edge"]) & _joins_two(now, y)), F.lit(0).cast("long")).otherwise(now))
+            return F.when(_joins_two(cuts, x), merged).otherwise(cuts)
+
+        return F.aggregate(F.filter(spans, lambda x: x["inside"] != 0), _bit(F.length(word) + 1) - 1, step)
+
+    return _let(late, fold)
+
+
 def _merged(word: Column, edges: Column, pieces: Pieces) -> Column:
-    """Byte-pair merges. ``edges``: array of longs start << 54 | end << 44 | rank << 22 | id."""
-    lattice = F.map_from_arrays(F.transform(edges, lambda x: F.shiftright(x, 44).cast("int")), F.transform(edges, lambda x: x.bitwiseAND((1 << 44) - 1)))
+    """Byte-pair merges. ``edges``: array of longs made by ``_edge``."""
+
+    def spans_of(ordered: Column) -> Column:
+        def span(x):
+            low, high = _bit(_bits(x, 31, 10).cast("int")), _bit(_bits(x, 21, 10).cast("int"))
+            return F.struct(x.alias("edge"), low.bitwiseOR(high).alias("ends"), (high - low - low).alias("inside"))
+
+        return F.transform(ordered, span)
+
+    def by_bits(spans: Column) -> Column:
+        def ids(cuts: Column) -> Column:
+            used = F.filter(spans, lambda x: _ends_are_cuts(cuts, x) & (cuts.bitwiseAND(x["inside"]) == 0))
+            in_text_order = lambda u: F.transform(F.sort_array(F.transform(u, lambda x: _bits(x["edge"], 0, 41))), lambda x: _bits(x, 0, 21).cast("int"))
+            # fewer edges than parts: some part is a character to spell; no cuts: the pass did not hold
+            return _let(used, lambda u: F.when((cuts != 0) & (F.size(u) == F.bit_count(cuts) - 1), in_text_order(u)))
+
+        return _let(_one_pass(word, spans), ids)
+
+    short = F.when(F.length(word) <= SHORT, _let(spans_of(F.sort_array(edges)), by_bits))
+    return F.coalesce(short, _merged_step_by_step(word, edges, pieces))
+
+
+def _merged_step_by_step(word: Column, edges: Column, pieces: Pieces) -> Column:
+    """``_merged`` for any word: the best merge of all neighbours is looked up after each merge."""
+    lattice = F.map_from_arrays(F.transform(edges, lambda x: _bits(x, 21, 20).cast("int")), edges)
 
     def cuts_of(at: Column) -> Column:
         def step(acc, _):
             cuts = acc["cuts"]
             ranked = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.shiftright(
-                F.try_element_at(at, _spot(cuts[i - 1], cuts[i + 1])), 22) * 1024 + i)  # nulls are not ranked
+                F.try_element_at(at, _spot(cuts[i - 1], cuts[i + 1])), 42) * 1024 + i)  # nulls are not ranked
             stay = F.struct(cuts.alias("cuts"), F.lit(True).alias("done"))
             go = lambda i: F.struct(F.concat(F.slice(cuts, 1, i), F.slice(cuts, i + 2, F.size(cuts))).alias("cuts"), F.lit(False).alias("done"))
             merge = _let(F.array_min(ranked), lambda best: F.when(best.isNull(), stay).otherwise(go(best.bitwiseAND(1023).cast("int"))))
@@ -146,7 +219,7 @@ def _merged(word: Column, edges: Column, pieces: Pieces) -> Column:
         start = F.struct(F.sequence(F.lit(0), F.length(word)).alias("cuts"), F.lit(False).alias("done"))
         return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: acc["cuts"])
 
-    id_at = lambda at: lambda spot: F.try_element_at(at, spot).bitwiseAND((1 << 22) - 1).cast("int")
+    id_at = lambda at: lambda spot: _bits(F.try_element_at(at, spot), 0, 21).cast("int")
     return _let(lattice, lambda at: _let(cuts_of(at), lambda cuts: _ids(word, cuts, id_at(at), pieces)))
 
 
@@ -178,8 +251,9 @@ def encode_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame
     subs = subs.withColumn("piece", F.col("word").substr(F.col("start") + 1, F.col("len"))).withColumn("end", F.col("start") + F.col("len"))
     edges = subs.join(F.broadcast(table), "piece")
     if pieces.kind == "bpe":
-        s, e, r, i = (F.col(c).cast("long") for c in ("start", "end", "rank", "id"))
-        edge = F.shiftleft(s, 54).bitwiseOR(F.shiftleft(e, 44)).bitwiseOR(F.shiftleft(r, 22)).bitwiseOR(i)
+        if max((i for _, i, _ in pieces.rows), default=0) >= 1 << 21:
+            raise ValueError("ids of byte-pair models have 21 bits")
+        edge = _edge(*(F.col(c) for c in ("rank", "late", "start", "end", "id")))
         fold = _merged
     else:
         edge = F.struct("start", "end", "score", "id")
@@ -225,29 +299,28 @@ def _words(text: str, cut: re.Pattern):
 
 
 def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, folders: int) -> None:
-    """Write folder, chunk, word, ids (null: spelt) for the distinct words of every chunk of ``rows`` (doc_id, text, split)."""
+    """Write folder, chunk, at, ids (null: spelt) for the distinct words of every chunk of ``rows`` (doc_id, text, split); at: the word's number in its chunk."""
     cut = re.compile(pieces.word_pattern(), re.DOTALL)
 
     def distinct(batches):
         for chunk, held in _chunks(batches, chunk_bytes):
-            seen: set = set()
+            seen: dict = {}
             for _, texts in held:
                 for text in texts:
-                    seen.update(_words(text, cut))
+                    seen.update(dict.fromkeys(_words(text, cut)))
             words = [w for w in seen if len(w) <= LONGEST]
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.string())], names=["chunk", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())],
+                                                 names=["chunk", "at", "word"])
 
     spark = rows.sparkSession
-    spots = scratch_path(spark, "chunk-words")
-    rows.mapInArrow(distinct, "chunk long, word string").write.option("compression", "zstd").parquet(spots)
-    found = spark.read.parquet(spots).filter("word is not null").repartition("word")
-    # counting chunks makes this side read the columns of the other, so that both share one exchange (as does the filter)
-    words = found.groupBy("word").agg(F.count("chunk").alias("n")).filter("n > 0").select("word")
+    found = rows.mapInArrow(distinct, "chunk long, at int, word string").filter("word is not null").repartition("word")
+    # the counts make this side read the columns of the other, so that both share one exchange (as does the filter) and one pass over the texts
+    words = found.groupBy("word").agg(F.count("chunk").alias("n"), F.max("at").alias("last")).filter("n > 0 and last >= 0").select("word")
     coded = encode_words(words, [], pieces)
     folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
-    dealt = found.join(coded, "word", "left").withColumn("folder", folder).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
+    dealt = found.join(coded, "word", "left").select(folder.alias("folder"), "chunk", "at", "ids").repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
     # lattices of up to so many words of a task are gathered in a hash table; beyond that Spark sorts
     was = spark.conf.get(HASHED)
     spark.conf.set(HASHED, str(MOST_HASHED_WORDS))
@@ -280,11 +353,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def apply(batches):
         for chunk, held in _chunks(batches, chunk_bytes):
             some = any(text for _, texts in held for text in texts)  # else there are no words and perhaps no folder
-            known = _codes(f"{path}/folder={chunk % folders}", chunk) if some else {}
+            known = _Known(_codes(f"{path}/folder={chunk % folders}", chunk) if some else [], decoder, long)
             for ids, texts in held:
                 coded, chars, good = [], [], []
                 for text in texts:
-                    got = b"".join([known.get(w) or (decoder.spelt(w) if len(w) <= LONGEST else long.ids(w, known)) for w in _words(text, cut)])
+                    got = b"".join([known[w] for w in _words(text, cut)])
                     coded.append(got)
                     chars.append(len(text))
                     good.append(decoder.text(np.frombuffer(got, np.int32)) == text.replace(MARK, " "))
@@ -292,22 +365,46 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(chars, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(good, pa.bool_())],
                                                  names=["doc_id", "n_chars", "n_pieces", "ids", "round_trip"])
+            known.close()
 
     return rows.mapInArrow(apply, "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean")
 
 
-def _codes(path: str, chunk: int) -> dict[str, bytes]:
-    """word -> 32-bit ids of one chunk, from the written table; files are sorted by chunk, so others' row groups are skipped."""
-    files, root = pafs.FileSystem.from_uri(path)
-    table = pads.dataset(root, filesystem=files, format="parquet").to_table(columns=["word", "ids"], filter=pads.field("chunk") == chunk)
-    out: dict = {}
+def _codes(path: str, chunk: int) -> list[bytes]:
+    """32-bit ids of one chunk's words in the order of their numbers (empty: spelt); files are sorted by chunk, so others' row groups are skipped."""
+    files, root = open_folder(path)
+    if files.get_file_info(root).type == pafs.FileType.NotFound:  # all words are long
+        return []
+    table = pads.dataset(root, filesystem=files, format="parquet").to_table(columns=["at", "ids"], filter=pads.field("chunk") == chunk)
+    out: list = [None] * table.num_rows
     for batch in table.to_batches():
         ids = batch.column("ids")
         raw, ends = np.asarray(ids.values, np.int32).tobytes(), (4 * np.asarray(ids.offsets, np.int64)).tolist()
-        out.update(zip(batch.column("word").to_pylist(), (raw[a:b] for a, b in zip(ends, ends[1:]))))
+        for at, a, b in zip(batch.column("at").to_pylist(), ends, ends[1:]):
+            out[at] = raw[a:b]
     return out
 
 
+class _Known(dict):
+    """word -> 32-bit ids of one chunk; words are met in the order in which the first pass numbered them."""
+
+    def __init__(self, codes: list[bytes], decoder: _Decoder, long: _LongWords):
+        self.codes, self.decoder, self.long = iter(codes), decoder, long
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self.long.ids(word, self)
+        code = next(self.codes, None)
+        if code is None:
+            raise RuntimeError("a split's rows are not those of the first pass")
+        self[word] = code or self.decoder.spelt(word)
+        return self[word]
+
+    def close(self) -> None:
+        if next(self.codes, None) is not None:
+            raise RuntimeError("a split's rows are not those of the first pass")
+
+
 class _Decoder:
     """Rows of ids to text, and characters without pieces to ids."""
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull,
                                     StringContains, StringEndsWith, StringStartsWith)
 
+from quarry.llm.folders import open_folder
 from quarry.plans.sizing import bounded_broadcast
 from quarry.session import scratch_path
 
@@ -90,7 +91,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        files, root = pafs.FileSystem.from_uri(self.path)
+        files, root = open_folder(self.path)
         found = files.get_file_info(pafs.FileSelector(root, recursive=True)) if files.get_file_info(root).type == pafs.FileType.Directory else [files.get_file_info(root)]
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == pafs.FileType.File and x.size and not x.base_name.startswith(("_", "."))]
 
@@ -146,7 +147,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         if partition is None:  # there are no files
             return
-        files, _ = pafs.FileSystem.from_uri(self.path)
+        files, _ = open_folder(self.path)
         schema = pa.schema([*((c, pa.string()) for c in HEADERS), ("content_length", pa.int64()), ("payload", pa.binary()), ("payload_sha1", pa.string())])
         with files.open_input_file(partition.path) as stream:
             held, size = [], 0

@@ -440,6 +440,30 @@ def test_sentencepiece_of_long_words(spark):
         assert (coded[i].ids, coded[i].round_trip, coded[i].n_pieces) == (model.encode(text), True, len(coded[i].ids)), text[:20]
 
 
+def test_merges_brute(spark):
+    r = random.Random(6)
+    rows = [(c, k + 1, -100.0 - k) for k, c in enumerate("abc")]  # d has no piece
+    # ranks at random, so that merges often open up pairs whose turn is over
+    rows += [("".join(r.choice("abcd") for _ in range(r.randrange(2, 6))), 10 + k, -float(r.randrange(40))) for k in range(60)]
+    pieces = lattice.Pieces(tuple({p: (p, i, s) for p, i, s in rows}.values()), None, 0, "bpe")
+    some = sorted({"".join(r.choice("abcd") for _ in range(n)) for n in [1, 2, 3, 5, 8, 13, 60, 61, 62, 63, 100, 512] for _ in range(12)})
+    score, at = {p: s for p, _, s in pieces.rows}, {p: i for p, i, _ in pieces.rows}
+
+    def merged(word):
+        parts = list(word)
+        while pairs := [(-score[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score]:
+            k = min(pairs)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [at.get(x, 0) for x in parts]
+
+    words = spark.createDataFrame([(w,) for w in some], "word string")
+    coded = {x.word: x.ids for x in lattice.encode_words(words, [], pieces).collect()}
+    assert set(coded) == {w for w in some if any(p in w for p in at)}
+    assert all(ids == merged(w) for w, ids in coded.items())
+    by_table = {x.piece: x.late for x in lattice.piece_table(spark, pieces).collect()}
+    assert {0, 1} == set(by_table.values())
+
+
 def test_long_unigram_words_as_in_the_relation(spark):
     r = random.Random(9)
     rows = [(c, k + 1, -3.0) for k, c in enumerate("ab")] + [("ab", 5, -4.0), ("ba", 6, -4.0), ("aab", 7, -4.5), ("abab", 8, -5.0)]
@@ -471,6 +495,12 @@ def test_unigram_viterbi_brute(spark):
         assert sum(score[i] for i in x.ids) == pytest.approx(best(x.word))
 
 
+def test_folders_of_hadoop_schemes():
+    from quarry.llm.folders import arrow_uri
+
+    assert [arrow_uri(x) for x in ("s3a://b/x", "s3n://b/x", "hdfs://h/s3a://", "file:/tmp")] == ["s3://b/x", "s3://b/x", "hdfs://h/s3a://", "file:/tmp"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

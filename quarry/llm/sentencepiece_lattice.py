@@ -29,6 +29,7 @@ import hashlib
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ MARK = "▁"
 LONGEST = 512
 #: The cuts of a word of so many characters stand in the bits of a long.
 SHORT = 61
+#: Ids below twice this are handed over in 16 bits, less this.
+NARROW = 1 << 15
 HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 MOST_HASHED_WORDS = 200_000
 
@@ -62,6 +65,11 @@ class Pieces:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.rows), default=1)
 
+    @property
+    def narrow(self) -> bool:
+        last = max((i for _, i, _ in self.rows), default=0)
+        return max(last, self.unknown, (self.byte_base or 0) + 255) < 2 * NARROW
+
     def word_pattern(self) -> str:
         """Words never cut a piece: characters that stand side by side in some piece are of one class, and a
         word is marks followed by a run of one class, or a character that no longer piece has."""
@@ -304,10 +312,7 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
 
     def distinct(batches):
         for chunk, held in _chunks(batches, chunk_bytes):
-            seen: dict = {}
-            for _, texts in held:
-                for text in texts:
-                    seen.update(dict.fromkeys(_words(text, cut)))
+            seen = dict.fromkeys(chain.from_iterable(_words(text, cut) for _, texts in held for text in texts))
             words = [w for w in seen if len(w) <= LONGEST]
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
@@ -319,8 +324,12 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
     # the counts make this side read the columns of the other, so that both share one exchange (as does the filter) and one pass over the texts
     words = found.groupBy("word").agg(F.count("chunk").alias("n"), F.max("at").alias("last")).filter("n > 0 and last >= 0").select("word")
     coded = encode_words(words, [], pieces)
+    if pieces.narrow:
+        coded = coded.select("word", F.transform("ids", lambda i: (i - NARROW).cast("short")).alias("ids"))
     folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
-    dealt = found.join(coded, "word", "left").select(folder.alias("folder"), "chunk", "at", "ids").repartition("folder", "chunk").sortWithinPartitions("folder", "chunk")
+    # coded words are looked up in a hash table per partition: the words of the chunks, ten times as many, need no sorting
+    matched = found.join(coded.hint("shuffle_hash"), "word", "left").select("chunk", "at", "ids").repartition(folder, "chunk")
+    dealt = matched.select(folder.alias("folder"), "chunk", "at", "ids").sortWithinPartitions("folder", "chunk", "at")
     # lattices of up to so many words of a task are gathered in a hash table; beyond that Spark sorts
     was = spark.conf.get(HASHED)
     spark.conf.set(HASHED, str(MOST_HASHED_WORDS))
@@ -353,24 +362,22 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def apply(batches):
         for chunk, held in _chunks(batches, chunk_bytes):
             some = any(text for _, texts in held for text in texts)  # else there are no words and perhaps no folder
-            known = _Known(_codes(f"{path}/folder={chunk % folders}", chunk) if some else [], decoder, long)
+            known = _Known(_codes(f"{path}/folder={chunk % folders}", chunk, NARROW if pieces.narrow else 0) if some else [], decoder, long)
             for ids, texts in held:
-                coded, chars, good = [], [], []
-                for text in texts:
-                    got = b"".join([known[w] for w in _words(text, cut)])
-                    coded.append(got)
-                    chars.append(len(text))
-                    good.append(decoder.text(np.frombuffer(got, np.int32)) == text.replace(MARK, " "))
+                coded = [b"".join([known[w] for w in _words(text, cut)]) for text in texts]
                 ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(chars, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(good, pa.bool_())],
+                flat = np.frombuffer(b"".join(coded), np.int32)
+                good = [back == text.replace(MARK, " ").encode() for back, text in zip(decoder.texts(flat, ends), texts)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                chars = pa.array([len(text) for text in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, chars, pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(good, pa.bool_())],
                                                  names=["doc_id", "n_chars", "n_pieces", "ids", "round_trip"])
             known.close()
 
     return rows.mapInArrow(apply, "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean")
 
 
-def _codes(path: str, chunk: int) -> list[bytes]:
+def _codes(path: str, chunk: int, added: int) -> list[bytes]:
     """32-bit ids of one chunk's words in the order of their numbers (empty: spelt); files are sorted by chunk, so others' row groups are skipped."""
     files, root = open_folder(path)
     if files.get_file_info(root).type == pafs.FileType.NotFound:  # all words are long
@@ -379,7 +386,7 @@ def _codes(path: str, chunk: int) -> list[bytes]:
     out: list = [None] * table.num_rows
     for batch in table.to_batches():
         ids = batch.column("ids")
-        raw, ends = np.asarray(ids.values, np.int32).tobytes(), (4 * np.asarray(ids.offsets, np.int64)).tolist()
+        raw, ends = (np.asarray(ids.values, np.int32) + np.int32(added)).tobytes(), (4 * np.asarray(ids.offsets, np.int64)).tolist()
         for at, a, b in zip(batch.column("at").to_pylist(), ends, ends[1:]):
             out[at] = raw[a:b]
     return out
@@ -413,13 +420,20 @@ class _Decoder:
         self.piece = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows}
         if self.base is not None:
             self.piece |= {self.base + b: bytes([b]) for b in range(256)}
+        other = b" \xe2\x81\x87 "
+        # by id; the last entry is for ids outside the vocabulary
+        self.table = pa.array([self.piece.get(i, other) for i in range(max(self.piece, default=0) + 2)], pa.large_binary())
 
     def spelt(self, word: str) -> bytes:
         ids = [self.unknown] * len(word) if self.base is None else [self.base + b for b in word.encode()]
         return np.array(ids, np.int32).tobytes()
 
-    def text(self, ids: np.ndarray) -> str:
-        return b"".join([self.piece.get(i, b" \xe2\x81\x87 ") for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of the texts whose ids end at ``ends`` (0 first), without the space in front."""
+        at = self.table.take(pa.array(np.where((ids >= 0) & (ids < len(self.table) - 1), ids, len(self.table) - 1)))
+        spots = np.frombuffer(at.buffers()[1], np.int64, len(at) + 1, at.offset * 8)[ends].tolist()
+        raw = at.buffers()[2] or b""
+        return [bytes(raw[a + 1 : b]) for a, b in zip(spots, spots[1:])]
 
 
 class _LongWords:

@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -72,7 +72,8 @@ class Pieces:
 
     def word_pattern(self) -> str:
         """Words never cut a piece: characters that stand side by side in some piece are of one class, and a
-        word is marks followed by a run of one class, or a character that no longer piece has."""
+        word is marks followed by a run of one class, or a character that no longer piece has. Marks are
+        still spaces here, so that plain texts stay strings of one byte a character."""
         up: dict[str, str] = {}
 
         def root(c):
@@ -81,7 +82,7 @@ class Pieces:
             return c
 
         for p, _, _ in self.rows:
-            own = p.lstrip(MARK)
+            own = p.replace(MARK, " ").lstrip(" ")
             for a, b in zip(own, own[1:]):
                 up[root(max(a, b))] = root(min(a, b))
             if len(p) > 1 and own:
@@ -99,8 +100,8 @@ class Pieces:
                     spans.append([c, c])
             runs.append("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b))) * (b > a) for a, b in spans) + "]" + "+" * (len(members) > 1))
         runs.sort(key=len, reverse=True)
-        after = "|".join([*runs, f"[^{MARK}]"])
-        return f"{MARK}*(?:{after})|{MARK}+"
+        after = "|".join([*runs, "[^ ]"])
+        return f" *(?:{after})| +"
 
 
 def load_pieces(path: str, kind: str = "bpe") -> Pieces:
@@ -132,10 +133,10 @@ def _let(value: Column, body) -> Column:
 
 
 def _spelt(char: Column, pieces: Pieces) -> Column:
-    """Ids of a character without a piece."""
+    """Ids of a character without a piece; a space stands for the mark."""
     if pieces.byte_base is None:
         return F.array(F.lit(pieces.unknown))
-    return _let(F.hex(F.encode(char, "UTF-8")), lambda code: F.transform(
+    return _let(F.hex(F.encode(F.translate(char, " ", MARK), "UTF-8")), lambda code: F.transform(
         F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.conv(code.substr(i, F.lit(2)), 16, 10).cast("int") + pieces.byte_base))
 
 
@@ -302,8 +303,8 @@ def _chunks(batches, chunk_bytes: int):
 
 
 def _words(text: str, cut: re.Pattern):
-    """Words of a text, mark in front."""
-    return cut.findall(MARK + text.replace(" ", MARK)) if text else []
+    """Words of a text, mark in front; marks are spaces."""
+    return cut.findall(" " + text.replace(MARK, " ")) if text else []
 
 
 def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, folders: int) -> None:
@@ -323,9 +324,10 @@ def word_codes(rows: DataFrame, pieces: Pieces, path: str, chunk_bytes: int, fol
     found = rows.mapInArrow(distinct, "chunk long, at int, word string").filter("word is not null").repartition("word")
     # the counts make this side read the columns of the other, so that both share one exchange (as does the filter) and one pass over the texts
     words = found.groupBy("word").agg(F.count("chunk").alias("n"), F.max("at").alias("last")).filter("n > 0 and last >= 0").select("word")
-    coded = encode_words(words, [], pieces)
-    if pieces.narrow:
-        coded = coded.select("word", F.transform("ids", lambda i: (i - NARROW).cast("short")).alias("ids"))
+    spaced = replace(pieces, rows=tuple((p.replace(MARK, " "), i, score) for p, i, score in pieces.rows))
+    coded = encode_words(words, [], spaced)
+    ids = F.transform("ids", lambda i: (i - NARROW).cast("short")) if pieces.narrow else F.col("ids")
+    coded = coded.select("word", ids.alias("ids"))
     folder = F.pmod(F.col("chunk"), F.lit(folders)).cast("int")
     # coded words are looked up in a hash table per partition: the words of the chunks, ten times as many, need no sorting
     matched = found.join(coded.hint("shuffle_hash"), "word", "left").select("chunk", "at", "ids").repartition(folder, "chunk")
@@ -400,11 +402,12 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > LONGEST:
-            return self.long.ids(word, self)
+            self[word] = self.long.ids(word.replace(" ", MARK))
+            return self[word]
         code = next(self.codes, None)
         if code is None:
             raise RuntimeError("a split's rows are not those of the first pass")
-        self[word] = code or self.decoder.spelt(word)
+        self[word] = code or self.decoder.spelt(word.replace(" ", MARK))
         return self[word]
 
     def close(self) -> None:
@@ -445,12 +448,11 @@ class _LongWords:
         self.longest, self.kind, self.decoder = pieces.longest, pieces.kind, _Decoder(pieces)
         self.worst = min((s for _, _, s in pieces.rows), default=0.0) - 10.0
 
-    def ids(self, word: str, known: dict[str, bytes]) -> bytes:
-        """32-bit ids, also noted in ``known``."""
+    def ids(self, word: str) -> bytes:
+        """32-bit ids."""
         cuts = self.merged(word) if self.kind == "bpe" else self.viterbi(word)
         parts = (word[a:b] for a, b in zip(cuts, cuts[1:]))
-        known[word] = b"".join([np.int32(self.table[p][2]).tobytes() if p in self.table else self.decoder.spelt(p) for p in parts])
-        return known[word]
+        return b"".join([np.int32(self.table[p][2]).tobytes() if p in self.table else self.decoder.spelt(p) for p in parts])
 
     def merged(self, word: str) -> list[int]:
         """Byte-pair merges, best rank first, leftmost among equals: a heap of the pairs of neighbours, stale ones skipped."""

@@ -471,7 +471,7 @@ def test_long_unigram_words_as_in_the_relation(spark):
     some = sorted({"".join(r.choice("aabbc") for _ in range(r.randrange(1, 40))) for _ in range(60)})
     coded = {x.word: x.ids for x in lattice.encode_words(spark.createDataFrame([(w,) for w in some], "word string"), [], pieces).collect()}
     long = lattice._LongWords(pieces)
-    assert all(np.frombuffer(long.ids(w, {}), np.int32).tolist() == ids for w, ids in coded.items())
+    assert all(np.frombuffer(long.ids(w), np.int32).tolist() == ids for w, ids in coded.items())
 
 
 def test_unigram_viterbi_brute(spark):

@@ -427,6 +427,18 @@ def test_sentencepiece(spark, docs, empty):
     assert lattice.encode(empty, pieces).count() == 0
 
 
+def test_sentencepiece_chunks_have_small_numbers(spark, tmp_path):
+    """A chunk's name goes with each word of it through two shuffles: a few bits, not a hash."""
+    pieces = lattice.load_pieces(queries.tokenizer_path())
+    spark.range(400).selectExpr("id as doc_id", "concat('word ', id, ' and ', id % 7) as text").repartition(4).write.parquet(f"{tmp_path}/docs")
+    rows = spark.read.parquet(f"{tmp_path}/docs").selectExpr("doc_id", "text", "concat_ws('@', input_file_name(), input_file_block_start()) as split")
+    lattice.word_codes(rows, pieces, f"{tmp_path}/codes", 200, 4, lattice._split_numbers(rows))
+    chunks = [r.chunk for r in spark.read.parquet(f"{tmp_path}/codes").select("chunk").distinct().collect()]
+    assert len(chunks) > 8 and 0 <= min(chunks) and max(chunks) < 400
+    with pytest.raises(Exception, match="splits are not those"):
+        lattice.word_codes(rows, pieces, f"{tmp_path}/other", 200, 4, {"another": 0})
+
+
 def test_sentencepiece_of_long_words(spark):
     import sentencepiece
 

@@ -7,7 +7,9 @@
 2. A range's transducers are united by summing weights; phrases below the threshold go.
 3. A phrase is no more frequent than its parts, so pairs are counted of frequent words only, and
    longer phrases only where all their pairs are frequent. The frequent ones reach the tasks as a
-   bit table of fixed size: a false hit costs work, none is ever missed.
+   bit table of fixed size: a false hit costs work, none is ever missed. Before pairs and longer
+   phrases are counted, their occurrences are summed by hash slot: a phrase in a slot under the
+   threshold is not frequent, so only those in the other slots get into transducers.
 4. A range's transducer composed with the automaton of the parts asked there gives their counts.
 """
 
@@ -18,6 +20,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -239,23 +242,26 @@ class _Shard:
             tail.append(last)
         return ([c[codes] for c in columns] if columns else [codes]) + tail[::-1]
 
+    def slots(self, n: int, at: np.ndarray, bits: int) -> np.ndarray:
+        """Bit numbers of the n-grams at the places."""
+        return _mixed([self.lang_hash[self.lang[at]], *(self.word_hash[self.word[at + i]] for i in range(n))]) >> np.uint64(64 - bits)
+
     def hits(self, n: int, at: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
         """Which of the places hold an n-gram whose bit is set."""
-        hashes = _mixed([self.lang_hash[self.lang[at]], *(self.word_hash[self.word[at + i]] for i in range(n))])
-        slot = hashes >> np.uint64(64 - bits)
+        slot = self.slots(n, at, bits)
         return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-    def places(self, tables: list[np.ndarray], bits: int, longest: int) -> dict[int, np.ndarray]:
-        """Places of the n-grams to count: words; pairs of frequent words; longer ones of frequent pairs."""
+    def pairs(self, tables: list[np.ndarray], bits: int) -> np.ndarray:
+        """Places of the pairs of frequent words (first table) that are set in the second, if there is one."""
         every = np.arange(len(self.word))
-        if not tables:
-            return {1: every}
         good = self.hits(1, every, tables[0], bits) if len(every) else np.zeros(0, bool)
         pair = np.flatnonzero(self.joined & good[1:] & good[:-1])
-        if len(tables) == 1:
-            return {2: pair}
-        run = np.zeros(max(len(every), 1), bool)
-        run[pair[self.hits(2, pair, tables[1], bits)]] = True
+        return pair[self.hits(2, pair, tables[1], bits)] if tables[1:] else pair
+
+    def longer(self, pair: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+        """Places of the longer n-grams of which every pair is among the given ones."""
+        run = np.zeros(max(len(self.word), 1), bool)
+        run[pair] = True
         out, live = {}, run
         for n in range(3, longest + 1):
             live = live[: len(live) - 1] & run[n - 2 :]
@@ -292,6 +298,31 @@ def _transducers(shard: _Shard, places: dict[int, np.ndarray], ranges: int) -> I
         yield int(home[i]), Transducer.build(symbols, rows, counts[i:j].tolist(), [0, *shared[i + 1 : j].tolist()]).pack()
 
 
+def _sketches(slots: np.ndarray, bits: int, parts: int, least: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed counts) of a shard's n-grams by slot, for equal parts of the slots; counts stop at ``least``.
+
+    Slots stand as gaps in bytes: 255 goes on to the next byte, anything less ends a gap.
+    """
+    slots, counts = np.unique(slots, return_counts=True)
+    counts = np.minimum(counts, least).astype(np.min_scalar_type(least))
+    size = (1 << bits) // parts
+    ends = np.searchsorted(slots, np.arange(parts + 1) * size)
+    for part, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        if i < j:
+            gaps = np.diff(slots[i:j].astype(np.int64), prepend=part * size)
+            at = np.cumsum(gaps // 255 + 1) - 1
+            packed = np.full(at[-1] + 1, 255, np.uint8)
+            packed[at] = gaps % 255
+            yield part, zlib.compress(struct.pack("<Q", len(packed)) + packed.tobytes() + counts[i:j].tobytes(), 1)
+
+
+def _slot_counts(packed: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots, from the part's first on, and counts of a sketch."""
+    raw = zlib.decompress(packed)
+    gaps = np.frombuffer(raw, np.uint8, struct.unpack_from("<Q", raw)[0], 8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255], np.frombuffer(raw, np.min_scalar_type(least), offset=8 + len(gaps))
+
+
 def _home(keys: list[tuple], ranges: int) -> np.ndarray:
     """The range of each key, as ``_transducers`` deals them."""
     if not keys:
@@ -313,39 +344,66 @@ def _slots(keys: list[tuple], bits: int) -> np.ndarray:
     return out
 
 
-def shard_transducers(docs: DataFrame, tables: list, ranges: int, cfg: Collocations) -> DataFrame:
-    """(range, packed); with no ``tables`` yet also rows (lang, n): words of a shard by language, without a range."""
+def shard_transducers(docs: DataFrame, tables: list, ranges: int, parts: int, cfg: Collocations) -> DataFrame:
+    """(range, packed): what a shard counts, given the tables so far; sketches have ranges -1 - part.
+
+    Without tables, words, and all words of a language as the phrase of none; with frequent words, a
+    sketch of their pairs; with that too, the pairs it leaves and a sketch of the longer phrases of
+    them; with frequent words, frequent pairs and that sketch, the longer phrases it leaves.
+    """
+    def count(shard: _Shard, found: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        if not found:
+            every = [((s,), int(n)) for s, n in zip(shard.langs, np.bincount(shard.lang, minlength=len(shard.langs))) if n]
+            yield from zip(_home([k for k, _ in every], ranges).tolist(), (Transducer.of({k: n}).pack() for k, n in every))
+            yield from _transducers(shard, {1: np.arange(len(shard.word))}, ranges)
+            return
+        pair = shard.pairs(found[:2], cfg.bits)
+        if len(found) < 3:
+            sketched = {2: pair} if len(found) == 1 else shard.longer(pair, cfg.longest)
+            slots = [shard.slots(n, at, cfg.bits).astype(np.uint32) for n, at in sketched.items()]
+            yield from ((-1 - part, packed) for part, packed in _sketches(np.concatenate(slots), cfg.bits, parts, cfg.least))
+            if len(found) == 2:
+                yield from _transducers(shard, {2: pair}, ranges)
+        else:
+            left = {n: at[shard.hits(n, at, found[2], cfg.bits)] for n, at in shard.longer(pair, cfg.longest).items()}
+            yield from _transducers(shard, left, ranges)
+
     def run(batches):
         found = [t.value for t in tables]
         for batch in batches:
             _, offsets = T.utf8(batch.column(1))
             for i, j in T.slices(offsets, cfg.part):
                 shard = _Shard(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
-                packed = list(_transducers(shard, shard.places(found, cfg.bits, cfg.longest), ranges))
-                totals = [] if found else [(s.decode(), int(n)) for s, n in zip(shard.langs, np.bincount(shard.lang, minlength=len(shard.langs)))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _ in packed] + [None] * len(totals), pa.int32()), pa.array([p for _, p in packed] + [None] * len(totals), pa.binary()),
-                     pa.array([None] * len(packed) + [s for s, _ in totals], pa.string()), pa.array([None] * len(packed) + [n for _, n in totals], pa.int64())],
-                    names=["range", "packed", "lang", "n"])
+                packed = list(count(shard, found))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in packed], pa.int32()), pa.array([p for _, p in packed], pa.binary())], names=["range", "packed"])
 
-    return docs.mapInArrow(run, "range int, packed binary, lang string, n long")
+    return docs.mapInArrow(run, "range int, packed binary")
 
 
-def unite(shards: DataFrame, least: int) -> DataFrame:
-    """(range, packed): the sum of each range's transducers, without phrases under ``least``.
+def unite(shards: DataFrame, parts: int, cfg: Collocations) -> DataFrame:
+    """(range, packed): the sum of each range's transducers, without phrases under ``least``; of sketches, a bit per slot that reaches it.
 
-    A range has about ``range_words`` words of the corpus at most, so its distinct keys are bounded.
+    A range has about ``range_words`` words of the corpus at most, so its distinct keys are bounded;
+    so are a part's slots, and its sketches are those of a bounded number of shards' worth of slots.
     """
     def run(table: pa.Table) -> pa.Table:
-        total: dict = defaultdict(int)
-        for packed in table.column("packed"):
-            for key, weight in Transducer.unpack(packed.as_py()).items():
-                total[key] += weight
-        kept = {k: w for k, w in total.items() if w >= least}
-        out = [Transducer.of(kept).pack()] if kept else []
-        return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(out), pa.int32()), "packed": pa.array(out, pa.binary())})
-
-    return shards.filter("range is not null").select("range", "packed").groupBy("range").applyInArrow(run, "range int, packed binary")
+        home = table.column("range")[0].as_py()
+        if home < 0:
+            sums = np.zeros((1 << cfg.bits) // parts, np.uint32)
+            for packed in table.column("packed"):
+                slots, counts = _slot_counts(packed.as_py(), cfg.least)
+                sums[slots] += counts
+            out = [zlib.compress(np.packbits(sums >= cfg.least, bitorder="little").tobytes(), 1)]
+        else:
+            total: dict = defaultdict(int)
+            for packed in table.column("packed"):
+                for key, weight in Transducer.unpack(packed.as_py()).items():
+                    total[key] += weight
+            kept = {k: w for k, w in total.items() if w >= cfg.least}
+            out = [Transducer.of(kept).pack()] if kept else []
+        return pa.table({"range": pa.array([home] * len(out), pa.int32()), "packed": pa.array(out, pa.binary())})
+
+    return shards.groupBy("range").applyInArrow(run, "range int, packed binary")
 
 
 def phrases(united: DataFrame, bits: int) -> DataFrame:
@@ -372,6 +430,15 @@ def _bit_table(found: DataFrame, bits: int):
     return spark.sparkContext.broadcast(table)
 
 
+def _sketch_table(united: DataFrame, parts: int, bits: int):
+    """Broadcast table of 2^bits bits, set in the slots that the summed sketches leave."""
+    table, cells = np.zeros(1 << (bits - 6), np.uint64), (1 << (bits - 6)) // parts
+    for home, packed in united.filter("range < 0").collect():
+        at = (-1 - home) * cells
+        table[at : at + cells] = np.frombuffer(zlib.decompress(packed), np.uint64)
+    return united.sparkSession.sparkContext.broadcast(table)
+
+
 def _part_counts(parts: DataFrame, united: DataFrame, ranges: int) -> DataFrame:
     """lang, part, f of the parts (lang, part) asked for, distinct."""
     def dealt(batches):
@@ -416,19 +483,25 @@ def collocations(docs: DataFrame, cfg: Collocations = Collocations()) -> DataFra
     length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(shuffles, length // (6 * cfg.range_words))
 
-    tables, families, found, totals = [], [], [], None
-    for family in range(1, PREFIX_WORDS + 1):
-        shards = shard_transducers(rows, tables, ranges, cfg)
-        if family == 1:
-            shards = written(shards, "shards")
-            totals = written(shards.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        united = written(unite(shards, cfg.least), "united")
-        families.append(united.withColumn("family", F.lit(family)))
-        found.append(written(phrases(united, cfg.bits), "phrases"))
-        if family < PREFIX_WORDS:
-            tables.append(_bit_table(found[-1], cfg.bits))
-    united = families[0].unionByName(families[1]).unionByName(families[2])
-    candidates = found[1].unionByName(found[2]).select("lang", "phrase", "words", F.col("f").alias("a"))
+    # slots in parts of 64 MB of text or less, so that a part's sketches stay small
+    parts = min(1 << (max(32, shuffles, length >> 26) - 1).bit_length(), 1 << (cfg.bits - 6))
+
+    def counted(*tables) -> DataFrame:
+        return written(unite(shard_transducers(rows, list(tables), ranges, parts, cfg), parts, cfg), "united")
+
+    def listed(united: DataFrame) -> DataFrame:
+        return written(phrases(united.filter("range >= 0"), cfg.bits), "phrases")
+
+    ones = counted()
+    words = listed(ones)
+    # a language under ``least`` words has no candidates
+    totals = words.filter("words = 0").select("lang", F.col("f").alias("n"))
+    frequent = _bit_table(words.filter("words = 1"), cfg.bits)
+    twos = counted(frequent, _sketch_table(counted(frequent), parts, cfg.bits))
+    pairs = listed(twos)
+    more = counted(frequent, _bit_table(pairs, cfg.bits), _sketch_table(twos, parts, cfg.bits))
+    united = reduce(DataFrame.unionByName, (u.filter("range >= 0").withColumn("family", F.lit(i)) for i, u in enumerate((ones, twos, more), 1)))
+    candidates = pairs.unionByName(listed(more)).select("lang", "phrase", "words", F.col("f").alias("a"))
 
     split = candidates.withColumn("w", F.split("phrase", " ")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = written(split.select("lang", "phrase", "words", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"),

@@ -80,6 +80,45 @@ def test_ranges_agree():
             assert set(C._home(keys, 7).tolist()) == {home}
 
 
+def test_sketches():
+    r = np.random.default_rng(3)
+    for bits, parts, least in ((27, 32, 100), (12, 8, 5), (12, 64, 1000)):
+        drawn = [r.integers(0, 1 << bits, n, dtype=np.uint32) for n in (0, 1, 3000)] + [np.full(2000, (1 << bits) - 1, np.uint32)]
+        got = collections.Counter()
+        for slots in drawn:
+            for part, packed in C._sketches(slots, bits, parts, least):
+                at, counts = C._slot_counts(packed, least)
+                got.update(dict(zip((at + part * ((1 << bits) // parts)).tolist(), counts.tolist())))
+        want = collections.Counter()
+        for slots in drawn:
+            want.update({s: min(n, least) for s, n in collections.Counter(slots.tolist()).items()})
+        assert got == want
+
+
+def test_rare_pairs_stay_out(spark):
+    """Of frequent words, only pairs and longer phrases that may be frequent are packed and shuffled."""
+    r = random.Random(4)
+    rows = [("en", " ".join(r.choice([f"w{r.randrange(40)}", "new york city"]) for _ in range(50))) for _ in range(80)]
+    docs, cfg = spark.createDataFrame(rows, "lang string, text string"), C.Collocations(least=20, part=3000)
+    packed, shard_transducers = [], C.shard_transducers
+
+    def kept(*args):
+        out = shard_transducers(*args)
+        packed.append([k for row in out.filter("range >= 0").select("packed").collect() for k, _ in C.Transducer.unpack(bytes(row.packed)).items()])
+        return out
+
+    C.shard_transducers = kept
+    try:
+        assert result(C.collocations(docs, cfg)) == brute(rows, cfg.least)
+    finally:
+        C.shard_transducers = shard_transducers
+    f = collections.Counter(tuple(p) for _, t in rows for n in range(1, 6) for w in [t.split()] for p in (w[i : i + n] for i in range(len(w) - n + 1)))
+    assert min(f[f"w{i}",] for i in range(40)) >= cfg.least and sum(f[p] < cfg.least for p in f if len(p) == 2) > 500
+    seen = [{tuple(w.decode() for w in k[1:]) for k in keys if len(k) > 2} for keys in packed]
+    assert {p for keys in seen for p in keys} >= {p for p in f if len(p) > 1 and f[p] >= cfg.least}
+    assert sum(f[p] < cfg.least for keys in seen for p in keys) < 5
+
+
 def test_exact_scores(spark):
     rows = [(a, n, left, right) for a, n, left, right in [(10**14, 10**17, 10**14 + 1, 10**15 - 1), (100, 12345678901234, 101, 103), (7, 9, 7, 7), (10**14, 10**18, 10**14, 10**14)]]
     got = spark.createDataFrame(rows, "a long, n long, l long, r long")

@@ -135,7 +135,7 @@ def _block_links(members: DataFrame, cfg: SimHash) -> DataFrame:
     members: at, bytes, fp, label. A block holds (fp, label), 16 bytes a member.
     """
     size = members.groupBy("at", "bytes").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("parts"))
-    dealt = members.join(size, ["at", "bytes"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = members.join(size.hint("merge"), ["at", "bytes"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "at", "bytes", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "label")
 
@@ -187,14 +187,15 @@ def near_duplicates(docs: DataFrame, cfg: SimHash = SimHash(), id_col: str = "do
     classes = written(usable.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "classes")
     keyed = classes.select("fp", F.explode(posting_keys(F.col("fp"), cfg)).alias("key")).select("fp", "key.*")
     lists = keyed.groupBy("at", "bytes").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    members = written(keyed.join(lists, ["at", "bytes"]), "members")
+    # merged, here and below: Spark sizes lists as the table before the explode, and would broadcast many times its bound
+    members = written(keyed.join(lists.hint("merge"), ["at", "bytes"]), "members")
     stars = members.select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b")
     links = written(_verified(stars, cfg).unionByName(_ties(usable)), "links")
     label = components(links)
 
     named = members.select("at", "bytes", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_ = named.groupBy("at", "bytes").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("at", "bytes")
-    rest = written(named.join(open_, ["at", "bytes"]), "open")
+    rest = written(named.join(open_.hint("merge"), ["at", "bytes"]), "open")
     if not rest.isEmpty():
         label = components(written(links.unionByName(_block_links(rest, cfg)), "links"))
     named = written(classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labels")

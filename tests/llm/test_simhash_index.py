@@ -102,3 +102,22 @@ def test_native_hash_agrees(spark):
 def test_query(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()
     assert result(queries.op13_simhash_near_dedup(spark, SF001)) == brute([tuple(r) for r in docs])
+
+
+def test_exploded_lists_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes the lists as the table before the explode, so every join of them has to be a merge join."""
+    plans = {}
+
+    def recorded(df, name="stage"):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    kept = simhash_index.written
+    monkeypatch.setattr(simhash_index, "written", recorded)
+    rows = [(i, f"one two three four five six seven eight nine ten eleven {i % 7} twelve") for i in range(40)]
+    assert simhash_index.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
+    assert "SortMergeJoin" in plans["members"] and "Broadcast" not in plans["members"]
+    assert "SortMergeJoin [at" in plans["open"]
+
+    members = spark.createDataFrame([(0, 1, 2, 3)], "at int, bytes long, fp long, label long")
+    assert "Broadcast" not in simhash_index._block_links(members, simhash_index.SimHash())._jdf.queryExecution().executedPlan().toString()

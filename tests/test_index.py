@@ -1,7 +1,9 @@
 import os
 import warnings
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.sources import index_io, wordlists
 
@@ -85,3 +87,46 @@ def _plan_text(df) -> str:
     with contextlib.redirect_stdout(buf):
         df.explain(extended=True)
     return buf.getvalue().split("== Physical Plan ==")[0]   # logical plans: the hint, not the runtime choice
+
+
+def test_large_rows_stand_in_small_row_groups(spark, tmp_path):
+    """A reader of the forward rows and blocks holds a row group at once, so it has few of their large rows."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from quarry.plans import index_build as IB
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda j: F.concat(F.lit("w"), ((F.col("id") * 7 + j) % 3000).cast("string")))
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"), F.lit("s").alias("source"), F.lit("l").alias("label"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        IB.build_index(docs, str(tmp_path / "idx"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+    def groups(table):
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/idx/{table}/*.parquet")]
+        return [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+
+    assert len(groups("terms")) > 3 and max(groups("terms")) == 1
+    assert sum(groups("blocks")) > 4 and max(groups("blocks")) <= 4
+
+
+def test_small_batches_give_the_bound_back(spark):
+    from quarry.session import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+
+    def sizes():
+        rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+        counted = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+        return [r.n for r in counted.collect()]
+
+    whole = sizes()
+    with small_batches(spark):
+        assert spark.conf.get(key) == "16m" and max(sizes()) < max(whole)
+        with small_batches(spark, "32m"):
+            assert spark.conf.get(key) == "16m"
+    assert spark.conf.get(key) == was and sizes() == whole
